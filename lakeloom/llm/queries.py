@@ -8,13 +8,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid
+from . import exact, langid, packing, separators, sequences, wordbpe
 from .common import crc_text
 
+#: The id that ends a document in op6, and the vocabulary's own end of text, which separates documents in op5.
+END_ID = 1
+END_OF_TEXT = 49407
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def word_vocabulary() -> str:
+    """The place of the public word-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -31,8 +42,33 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_documents(spark, sf_dir), keep="max")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = wordbpe.encode_documents(_documents(spark, sf_dir), word_vocabulary())
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat files of all documents, counted by a scan for the separator."""
+    files, listing = separators.write_flat(_documents(spark, sf_dir), word_vocabulary(), END_OF_TEXT)
+    counted = separators.count_tokens(spark, files, END_OF_TEXT)
+    return listing.join(counted, ["path", "ordinal"], "full").select("doc_id", "ordinal", "start", "n_tokens", "ended")
+
+
+def op6_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = sequences.write_sequences(_documents(spark, sf_dir), word_vocabulary(), END_ID)
+    return sequences.read_documents(spark, files)
+
+
 QUERIES["op1_language_id"] = op1_language_id
 QUERIES["op2_exact_dedup"] = op2_exact_dedup
+QUERIES["op3_bpe"] = op3_bpe
+QUERIES["op4_packing"] = op4_packing
+QUERIES["op5_token_counts"] = op5_token_counts
+QUERIES["op6_sequences"] = op6_sequences
 ORACLE_SQL["op2_exact_dedup"] = """
 SELECT doc_id,
        max(doc_id) OVER g AS keep_id,
