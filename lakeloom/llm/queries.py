@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, packing, separators, sequences, wordbpe
+from . import exact, langid, packing, separators, sequences, suffixes, wordbpe
 from .common import crc_text
 
 #: The id that ends a document in op6, and the vocabulary's own end of text, which separates documents in op5.
@@ -78,3 +78,37 @@ SELECT doc_id,
 FROM documents
 WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
+
+
+def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.remove_repeats(_documents(spark, sf_dir), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["op9_repeated_strings"] = op9_repeated_strings
+ORACLE_SQL["op9_repeated_strings"] = """
+WITH d AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+    SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, n, unnest(range(n - 49)) AS p FROM d WHERE n >= 50)
+), f AS (
+    SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE least < doc_id
+), r AS (
+    SELECT doc_id, p, sum(CASE WHEN p - prev <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+    FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS prev FROM f)
+), s AS (
+    SELECT doc_id, run, min(p) AS lo, max(p) + 50 AS hi FROM r GROUP BY doc_id, run
+), k AS (
+    SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS lo, lo AS hi FROM s
+    UNION ALL
+    SELECT s.doc_id, max(s.hi), any_value(d.n) FROM s JOIN d USING (doc_id) GROUP BY s.doc_id
+), t AS (
+    SELECT k.doc_id, string_agg(substr(d.h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id
+), c AS (
+    SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed, coalesce(c.n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(t.kept, d.h))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
