@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, packing, separators, sequences, suffixes, wordbpe
+from . import exact, jaccard, langid, packing, separators, sequences, suffixes, wordbpe
 from .common import crc_text
 
 #: The id that ends a document in op6, and the vocabulary's own end of text, which separates documents in op5.
@@ -112,3 +112,33 @@ SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) A
        sha256(unhex(coalesce(t.kept, d.h))) AS kept_sha256
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_documents(spark, sf_dir), words=3, num=90, den=100)
+
+
+QUERIES["op8_ngram_jaccard"] = op8_ngram_jaccard
+ORACLE_SQL["op8_ngram_jaccard"] = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(words) < 3 THEN array_to_string(words, ' ') ELSE array_to_string(words[i:i + 2], ' ') END AS g
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+    SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 90 * (a.n + b.n - common)
+), e AS (
+    SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+    SELECT doc_id AS origin, doc_id AS hop FROM documents
+    UNION
+    SELECT r.origin, e.y FROM r JOIN e ON e.x = r.hop
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(hop) FROM r WHERE r.origin = d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id)
+"""
