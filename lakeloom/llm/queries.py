@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, langid, packing, separators, sequences, suffixes, wordbpe
+from . import exact, jaccard, langid, packing, quality, separators, sequences, suffixes, wordbpe
 from .common import crc_text
 
 #: The id that ends a document in op6, and the vocabulary's own end of text, which separates documents in op5.
@@ -142,3 +142,11 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(hop) FROM r WHERE r.origin = d.doc_id) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id)
 """
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality.quality(docs, quality.learn_references(docs))
+
+
+QUERIES["op10_quality_rules"] = op10_quality_rules
