@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, langid, packing, quality, separators, sequences, suffixes, wordbpe
+from . import exact, jaccard, langid, packing, pii, quality, separators, sequences, suffixes, wordbpe
 from .common import crc_text
 
 #: The id that ends a document in op6, and the vocabulary's own end of text, which separates documents in op5.
@@ -150,3 +150,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_quality_rules"] = op10_quality_rules
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.detect(_documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: ~s["loose"])
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return done.withColumn("base", base).select("doc_id", *[of(k) for k in pii.KINDS], F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+QUERIES["op7_personal_data"] = op7_personal_data
