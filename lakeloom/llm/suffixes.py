@@ -28,6 +28,10 @@ GRAM = 24
 SLICE = 1 << 20
 #: Windows of one snippet at most.
 RUN = 64
+#: Text of a segment, which a task holds with the snippets cut from it.
+SEGMENT = 16 << 20
+#: Suffix arrays built one after another in a partition; bounds what is sorted at once.
+PARTS = 16
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -240,8 +244,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if length < GRAM + 1:
         raise ValueError(f"length is {GRAM + 1} at least")
-    segments = Segments(docs, id_col, text_col)
-    buckets = segments.buckets
+    segments = Segments(docs, id_col, text_col, SEGMENT)
+    buckets = segments.buckets * PARTS
     schema = "doc_id long, n_bytes long, spans array<struct<lo: long, hi: long>>, kept binary"
     if not segments.count:
         return segments.spark.createDataFrame([], schema)
@@ -251,35 +255,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for seg, path, blocks in gathered(batches):
             yield from _candidates(seg, path, unpack_answer(blocks)[0], length, buckets)
 
-    sent = segments.with_blocks(known).mapInArrow(snippets, "bucket int, seg int, ranges binary, lens binary, meta binary, text binary")
+    sent = segments.with_blocks(known).mapInArrow(snippets, "bucket int, seg int, ranges binary, meta binary, lens binary, text binary")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segs, lens, metas, texts = [], [], [], []
+        held: list[tuple] = []
+        now = -1
         for batch in batches:
-            for _, seg, ranges, len_, meta, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, seg, ranges, meta, lens, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if ranges is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([ranges], pa.binary())], names=["seg", "block"])
+                    yield _answer(seg, ranges)
                     continue
-                n = np.frombuffer(len_, "<u2").astype(np.int64)
-                lens.append(n)
-                metas.append(np.frombuffer(meta, "<i8").reshape(-1, 3))
-                texts.append(np.frombuffer(text, np.uint8))
-                segs.append(np.full(n.size, seg, np.int64))
-        if not lens:
-            return
-        size, meta, seg = np.concatenate(lens), np.concatenate(metas), np.concatenate(segs)
-        data = np.concatenate(texts)
-        ends = np.cumsum(size)
-        at = np.flatnonzero(repeated_windows(data, ends, meta[:, 0], length))
-        of = np.searchsorted(ends, at, side="right")
-        where = at - (ends - size)[of] + meta[of, 2]
-        seg_at = seg[of]
-        for s in np.unique(seg_at).tolist():
-            here = seg_at == s
-            row, lo = meta[of[here], 1], where[here]
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_pack_ranges(*_merge(row, lo, lo + length))], pa.binary())], names=["seg", "block"])
-
-    found = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(match, "seg int, block binary")
+                if bucket != now:
+                    yield from _matched(held, length)
+                    held, now = [], bucket
+                held.append((seg, meta, lens, text))
+        yield from _matched(held, length)
+
+    dealt = sent.repartitionById(segments.buckets, F.expr(f"bucket % {segments.buckets}")).sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(match, "seg int, block binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, path, blocks in gathered(batches):
@@ -302,75 +295,139 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _content(data: np.ndarray, at: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each ``data[a : a + n]``."""
-    words = _words(data)
+    """A 64-bit hash of each ``data[a : a + n]``; places ascend."""
     out = np.zeros(at.size, np.uint64)
-    for k in range(0, int(n_bytes.max()) if at.size else 0, 8):
-        live = n_bytes > k
-        left = (n_bytes[live] - k).clip(0, 8)
-        shift = (np.uint64(8) * (8 - left).astype(np.uint64))
-        w = words[at[live] + k] >> shift << np.where(left == 8, np.uint64(0), shift)
-        out[live] = _mixed(out[live] * _M1 + w + _M3)
+    for lo in range(0, at.size, 1 << 16):
+        here = slice(lo, lo + (1 << 16))
+        a, n = at[here], n_bytes[here]
+        base = int(a.min())
+        words = _words(data[base : int((a + n).max())])
+        a = a - base
+        part = np.zeros(a.size, np.uint64)
+        for k in range(0, int(n.max()), 8):
+            live = n > k
+            left = (n[live] - k).clip(0, 8)
+            shift = np.uint64(8) * (8 - left).astype(np.uint64)
+            part[live] = _mixed(part[live] * _M1 + (words[a[live] + k] >> shift << shift) + _M3)
+        out[here] = part
     return out
 
 
+def _answer(seg: int, ranges: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([ranges], pa.binary())], names=["seg", "block"])
+
+
+def _first_of_equals(key: np.ndarray, size: np.ndarray, content: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each snippet the smallest document that holds an equal one, and the number of its group of equals."""
+    order = np.lexsort((doc, size, content, key))
+    k, c, s = key[order], content[order], size[order]
+    new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1])]
+    least, group = np.empty_like(doc), np.empty(doc.size, np.int64)
+    least[order] = doc[order][np.maximum.accumulate(np.where(new, np.arange(order.size), 0))]
+    group[order] = np.cumsum(new) - 1
+    return least, group
+
+
+_META = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("at", "<i4")])
+
+
+def _matched(held: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
+    """What a bucket's snippets show: equal ones repeat the smallest document's, the rest is compared by a suffix array."""
+    if not held:
+        return
+    meta = np.concatenate([np.frombuffer(m, _META) for _, m, _, _ in held])
+    size = np.concatenate([np.frombuffer(n, "<u2") for _, _, n, _ in held]).astype(np.int64)
+    seg = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) // _META.itemsize for x in held])
+    data = np.concatenate([np.frombuffer(t, np.uint8) for *_, t in held])
+    ends = np.cumsum(size)
+    start = ends - size
+    key, doc, row, place = (meta[n] for n in ("key", "doc", "row", "at"))
+    doc, row, place = doc.astype(np.int64), row.astype(np.int64), place.astype(np.int64)
+    least, group = _first_of_equals(key, size, _content(data, start, size), doc)
+    repeats = np.flatnonzero(doc > least)
+    segs, rows, los, his = [seg[repeats]], [row[repeats]], [place[repeats]], [(place + size)[repeats]]
+    # keys with snippets that differ; of equal ones those of the smallest document stay
+    stay = np.flatnonzero(doc == least)
+    order = stay[np.lexsort((group[stay], key[stay]))]
+    k, g = key[order], group[order]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    last = np.r_[first[1:] - 1, k.size - 1]
+    differ = np.repeat(g[first] != g[last], last - first + 1)
+    own = order[differ]
+    if own.size:
+        n = size[own]
+        cut = np.cumsum(n)
+        gather = np.repeat(start[own] - (cut - n), n) + np.arange(int(cut[-1]))
+        at = np.flatnonzero(repeated_windows(data[gather], cut, doc[own], length))
+        of = np.searchsorted(cut, at, side="right")
+        lo = at - (cut - n)[of] + place[own][of]
+        segs.append(seg[own][of])
+        rows.append(row[own][of])
+        los.append(lo)
+        his.append(lo + length)
+    seg, row, lo, hi = (np.concatenate(x) for x in (segs, rows, los, his))
+    order = np.argsort(seg, kind="stable")
+    seg, row, lo, hi = seg[order], row[order], lo[order], hi[order]
+    for s in np.unique(seg).tolist():
+        a, b = np.searchsorted(seg, [s, s + 1])
+        yield _answer(s, _pack_ranges(*_merge(row[a:b], lo[a:b], hi[a:b])))
+
+
 def _candidates(seg: int, path: str, elsewhere: np.ndarray, length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """A segment's snippets by bucket, and what its own texts already show."""
-    local, counts = segment_keys(length)(path)
-    wanted = np.union1d(elsewhere, local[counts > 1])
-    names = ["bucket", "seg", "ranges", "lens", "meta", "text"]
-    keys, ids, rows, places, sizes, contents, texts = [], [], [], [], [], [], []
-    first = 0
-    if wanted.size:
-        for doc_ids, data, ends in _read(path):
-            if data.size >= length:
-                begins = np.r_[0, ends[:-1]]
-                for k, at, n in runs_of(data, ends, length):
-                    print_ = fingerprints(k)
-                    near = np.minimum(np.searchsorted(wanted, print_), wanted.size - 1)
-                    yes = wanted[near] == print_
-                    if not yes.any():
-                        continue
-                    k, at, n = k[yes], at[yes], n[yes] + length - 1
-                    text = np.searchsorted(ends, at, side="right")
-                    lo = int(at[0])
-                    hi = int((at + n).max())
-                    keys.append(k)
-                    ids.append(doc_ids[text])
-                    rows.append(first + text)
-                    places.append(at - begins[text])
-                    sizes.append(n)
-                    contents.append(_content(data[lo:hi], at - lo, n))
-                    gather = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    texts.append(data[gather])
-            first += ends.size
-    if not keys:
+    names = ["bucket", "seg", "ranges", "meta", "lens", "text"]
+    found, texts = [], []
+    first = offset = 0
+    for doc_ids, data, ends in _read(path):
+        if data.size >= length:
+            begins = np.r_[0, ends[:-1]]
+            for k, at, n in runs_of(data, ends, length):
+                text = np.searchsorted(ends, at, side="right")
+                found.append((k, doc_ids[text], first + text, at - begins[text], at + offset, n + length - 1))
+        texts.append(data)
+        offset += data.size
+        first += ends.size
+    if not found:
         return
-    key, doc, row, at, size, content = (np.concatenate(x) for x in (keys, ids, rows, places, sizes, contents))
+    key, doc, row, at, place, size = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
     data = np.concatenate(texts)
-    start = np.cumsum(size) - size
+    del texts
+    # keys that several texts of this segment hold, or other segments
+    print_ = fingerprints(key)
+    order = np.lexsort((row, print_))
+    k, r = print_[order], row[order]
+    group = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    sizes = np.diff(np.r_[group, k.size])
+    several = np.empty(k.size, bool)
+    several[order] = np.repeat(r[group] != r[group + sizes - 1], sizes)
+    if elsewhere.size:
+        near = np.minimum(np.searchsorted(elsewhere, print_), elsewhere.size - 1)
+        several |= elsewhere[near] == print_
+    yes = np.flatnonzero(several)
+    if not yes.size:
+        return
+    key, doc, row, at, place, size = (x[yes] for x in (key, doc, row, at, place, size))
     # of equal snippets those of the smallest document go on; the others repeat it
-    order = np.lexsort((row, doc, size, content, key))
-    k, c, s = key[order], content[order], size[order]
-    new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1])]
-    least = doc[order][np.maximum.accumulate(np.where(new, np.arange(order.size), 0))]
-    repeats = np.zeros(order.size, bool)
-    repeats[order] = doc[order] > least
+    least, _ = _first_of_equals(key, size, _content(data, place, size), doc)
+    repeats = doc > least
     if repeats.any():
         ranges = _pack_ranges(*_merge(row[repeats], at[repeats], at[repeats] + size[repeats]))
         yield pa.RecordBatch.from_arrays([pa.array([seg % buckets], pa.int32()), pa.array([seg], pa.int32()), pa.array([ranges], pa.binary()), *(pa.nulls(1, pa.binary()),) * 3], names=names)
     go = np.flatnonzero(~repeats)
-    to = (key[go] % np.uint64(buckets)).astype(np.int64)
-    go = go[np.argsort(to, kind="stable")]
-    to = np.sort(to)
+    to = (_mixed(key[go]) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    go, to = go[order], to[order]
     cuts = np.searchsorted(to, np.arange(buckets + 1))
+    meta = np.empty(go.size, _META)
+    meta["key"], meta["doc"], meta["row"], meta["at"] = key[go], doc[go], row[go], at[go]
     for b in range(buckets):
-        own = go[cuts[b] : cuts[b + 1]]
-        if own.size:
+        lo, hi = int(cuts[b]), int(cuts[b + 1])
+        if hi > lo:
+            own = go[lo:hi]
             n = size[own]
-            gather = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            meta = np.stack([doc[own], row[own], at[own]], axis=1).astype("<i8")
+            gather = np.repeat(place[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int32()), pa.array([seg], pa.int32()), pa.nulls(1, pa.binary()), pa.array([n.astype("<u2").tobytes()], pa.binary()), pa.array([np.ascontiguousarray(meta).tobytes()], pa.binary()), pa.array([data[gather].tobytes()], pa.binary())],
+                [pa.array([b], pa.int32()), pa.array([seg], pa.int32()), pa.nulls(1, pa.binary()), pa.array([meta[lo:hi].tobytes()], pa.binary()), pa.array([n.astype("<u2").tobytes()], pa.binary()), pa.array([data[gather].tobytes()], pa.binary())],
                 names=names,
             )
