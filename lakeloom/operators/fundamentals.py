@@ -163,11 +163,11 @@ def drop_spikes(series: DataFrame, key: str = "cik", value: str = "val", passes:
     """Isolated values more than 5x away from both neighbours that agree within 1.5x go; edges beyond 200x too."""
     out = series.where(F.col(value) > 0)
     w = W.partitionBy(key).orderBy("end", "filed")
-    for _ in range(passes):
-        x, p, n = F.ln(value), F.ln(F.lag(value).over(w)), F.ln(F.lead(value).over(w))
-        spike = (F.abs(x - p) > F.ln(F.lit(5.0))) & (F.abs(x - n) > F.ln(F.lit(5.0))) & (F.abs(p - n) < F.ln(F.lit(1.5)))
-        edge = (p.isNull() & (F.abs(x - n) > F.ln(F.lit(200.0)))) | (n.isNull() & (F.abs(x - p) > F.ln(F.lit(200.0))))
-        out = out.withColumn("_bad", F.coalesce(spike, F.lit(False)) | F.coalesce(edge, F.lit(False))).where("not _bad").drop("_bad")
+    x, p, n = F.ln(value), F.ln(F.lag(value).over(w)), F.ln(F.lead(value).over(w))
+    spike = (F.abs(x - p) > F.ln(F.lit(5.0))) & (F.abs(x - n) > F.ln(F.lit(5.0))) & (F.abs(p - n) < F.ln(F.lit(1.5)))
+    edge = (p.isNull() & (F.abs(x - n) > F.ln(F.lit(200.0)))) | (n.isNull() & (F.abs(x - p) > F.ln(F.lit(200.0))))
+    for bad in [spike] * passes + [edge]:
+        out = out.withColumn("_bad", F.coalesce(bad, F.lit(False))).where("not _bad").drop("_bad")
     return out
 
 

@@ -108,20 +108,21 @@ def price_only_events(events: DataFrame, counts: DataFrame) -> DataFrame:
     return attribution(events, counts).where(~is_round(F.col("k")) & F.coalesce(~F.col("in_counts"), F.lit(False)))
 
 
-def unit_slips(counts: DataFrame) -> DataFrame:
+def unit_slips(counts: DataFrame, shares: str = "shares") -> DataFrame:
     """Counts stated in thousands or millions scaled back: a level 1000 times off the usual one of its security for a while."""
     w = W.partitionBy("security_id").orderBy("end", "filed")
-    step = F.round(F.ln(F.col("shares") / F.lag("shares").over(w)) / math.log(1000))
-    near = F.abs(F.ln(F.col("shares") / F.lag("shares").over(w)) - step * math.log(1000)) < math.log(1.5)
-    c = counts.where("shares > 0").withColumn("_s", F.coalesce(F.when(near, step), F.lit(0.0)))
+    step = F.round(F.ln(F.col(shares) / F.lag(shares).over(w)) / math.log(1000))
+    near = F.abs(F.ln(F.col(shares) / F.lag(shares).over(w)) - step * math.log(1000)) < math.log(1.5)
+    c = counts.where(F.col(shares) > 0).withColumn("_s", F.coalesce(F.when(near, step), F.lit(0.0)))
     c = c.withColumn("_lvl", F.sum("_s").over(w.rowsBetween(W.unboundedPreceding, 0)))
     usual = _first(c.groupBy("security_id", "_lvl").count(), ["security_id"], [F.desc("count"), F.desc("_lvl")]).select("security_id", F.col("_lvl").alias("_usual"))
-    return c.join(usual, "security_id").withColumn("shares", F.col("shares") * F.pow(F.lit(1000.0), F.col("_usual") - F.col("_lvl"))).drop("_s", "_lvl", "_usual")
+    return c.join(usual, "security_id").withColumn(shares, F.col(shares) * F.pow(F.lit(1000.0), F.col("_usual") - F.col("_lvl"))).drop("_s", "_lvl", "_usual")
 
 
 def adjusted_counts(counts: DataFrame, events: DataFrame) -> DataFrame:
     """``shares_now``: counts in today's units, by the splits after the day they are stated for."""
-    return factor_after(unit_slips(counts), events, "end", "split_after").withColumn("shares_now", F.col("shares") * F.col("split_after"))
+    now = factor_after(counts, events, "end", "split_after").withColumn("shares_now", F.col("shares") * F.col("split_after"))
+    return unit_slips(now, "shares_now")
 
 
 def turnover_against_siblings(liquidity: DataFrame, counts: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-MODULES = ["queries_market"]
+MODULES = ["queries_market", "queries_intraday", "queries_company"]
 
 
 def _load() -> None:
