@@ -26,7 +26,7 @@ COMMON_WORDS = 24
 LANGUAGES = 32
 #: A language needs so many rows in the sample for a reference.
 MIN_ROWS = 20
-#: Guards: characters and letter words from which the histograms are compared.
+#: Guards: characters and words from which the histograms are compared.
 MIN_CHARS = 200
 MIN_WORDS = 60
 #: Jensen-Shannon distances (0 to 1) beyond which a document is dropped.
@@ -42,36 +42,44 @@ _CLASSES = ["lower", "upper", "digit", "white", "punctuation", "symbol", "other"
 
 @dataclass
 class Reference:
-    """A language's shares of character classes, its common words and their shares of all words."""
+    """A language's shares of character classes, its common words (as they stand between white space) and their shares of all words."""
 
     chars: list[float]
     words: list[str] = field(default_factory=list)
     shares: list[float] = field(default_factory=list)
 
 
+def _count(text: Column, chars: str) -> Column:
+    """How many of these (ASCII) characters the text holds: what the bytes lose when each is taken out."""
+    total = F.lit(0)
+    for c in chars:
+        total = total + F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))
+    return total
+
+
 def _class_counts(text: Column) -> list[Column]:
-    n = F.length(text)
     lower = F.length(F.regexp_replace(text, "[^\\p{Ll}]+", ""))
     upper = F.length(F.regexp_replace(text, "[^\\p{Lu}]+", ""))
-    digit = F.length(F.regexp_replace(text, "[^0-9]+", ""))
-    gone = lambda chars: n - F.length(F.translate(text, chars, ""))
-    known = [lower, upper, digit, gone(_WHITE), gone(PUNCTUATION), gone(SYMBOLS)]
+    known = [lower, upper, _count(text, "0123456789"), _count(text, _WHITE), _count(text, PUNCTUATION), _count(text, SYMBOLS)]
     total = known[0]
     for c in known[1:]:
         total = total + c
-    return [*known, n - total]
+    return [*known, F.length(text) - total]
 
 
-def _letters(text: Column) -> Column:
-    """Lower-case letter words, each between two blanks of its own."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}]+", "  ")), F.lit(" "))
+def _spaced(text: Column) -> Column:
+    """The text in lower case with two blanks between words, so that each word has blanks of its own."""
+    out = F.lower(text)
+    for c in _WHITE[1:]:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return F.concat(F.lit(" "), F.replace(out, F.lit(" "), F.lit("  ")), F.lit(" "))
 
 
 def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed`` added."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.withColumn("_words", F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, _WHITE, "")) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(_WORD[:-1]))
     rows = rows.withColumn("_lines", lines).withColumn("n_words", F.size("_words").cast("long"))
     shifted = [F.expr(f"slice(_words, {k}, greatest(size(_words) - {k - 1}, 0))").alias(f"w{k}") for k in range(1, 6)]
     grams = F.transform(F.slice(F.arrays_zip(*shifted), F.lit(1), F.greatest(F.size("_words") - 4, F.lit(0))), lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(1, 6)]))
@@ -90,8 +98,8 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda acc: acc["n"],
     )
     return (
-        rows.withColumn("word_chars", F.length(F.translate(text, _WHITE, "")).cast("long"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
+        rows.withColumn("word_chars", (F.length(text) - _count(text, _WHITE)).cast("long"))
+        .withColumn("n_symbols", _count(text, SYMBOLS).cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("n_repeat_words", F.when(F.col("_sorted").isNull(), F.lit(0).cast("long")).otherwise(covered))
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
@@ -109,7 +117,7 @@ def learn_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         total = sum(r[c] for c in _CLASSES)
         if total:
             found[r["lang"]] = Reference([r[c] / total for c in _CLASSES])
-    words = sample.select("lang", F.explode(F.filter(F.split(_letters(F.col("text")), " +"), lambda w: w != "")).alias("word"))
+    words = sample.select("lang", F.explode(F.filter(F.split(_spaced(F.col("text")), " +"), lambda w: w != "")).alias("word"))
     by_word = words.groupBy("lang", "word").count().withColumn("total", F.sum("count").over(W.partitionBy("lang")))
     top = by_word.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= COMMON_WORDS)
     for r in top.orderBy("lang", "rank").collect():  # COMMON_WORDS a language
@@ -149,24 +157,23 @@ def quality(docs: DataFrame, references: dict[str, Reference], id_col: str = "do
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"), *(keep or []))
     extra = rows.columns[3:]
-    rows = base_rules(rows).withColumn("_letters", _letters(F.col("text")))
+    rows = base_rules(rows).withColumn("_spaced", _spaced(F.col("text")))
     none = F.lit(None).cast("double")
     if references:
         size = F.greatest(F.length("text"), F.lit(1))
         rows = rows.withColumn("_chars", F.array(*[c / size for c in _class_counts(F.col("text"))]))
-        rows = rows.withColumn("_total", F.when(F.length("_letters") > 2, (F.length("_letters") - F.length(F.replace("_letters", F.lit(" "), F.lit("")))) / 2).otherwise(0.0))
         own = F.filter(_literal(references), lambda r: F.coalesce(r["lang"] == F.col("lang"), F.lit(False)))
         # the row's language, or every reference where its language has none
         rows = rows.withColumn("_own", own).withColumn("_refs", F.when(F.size("_own") > 0, F.col("_own")).otherwise(_literal(references)))
 
         def word_distance(r: Column) -> Column:
-            seen = lambda w: (F.length("_letters") - F.length(F.replace("_letters", F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2.0)
-            shares = F.transform(r["words"], lambda w: seen(w) / F.col("_total"))
+            seen = lambda w: (F.octet_length("_spaced") - F.octet_length(F.replace("_spaced", F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2.0)
+            shares = F.transform(r["words"], lambda w: seen(w) / F.col("n_words"))
             with_rest = F.transform(F.array(shares), lambda s: F.concat(s, F.array(F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate(s, F.lit(0.0), lambda a, x: a + x)))))
             return _distance(with_rest[0], r["shares"])
 
         rows = rows.withColumn("char_distance", F.when(F.length("text") >= MIN_CHARS, F.array_min(F.transform("_refs", lambda r: _distance(F.col("_chars"), r["chars"])))))
-        rows = rows.withColumn("word_distance", F.when(F.col("_total") >= MIN_WORDS, F.array_min(F.transform("_refs", word_distance))))
+        rows = rows.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, F.array_min(F.transform("_refs", word_distance))))
     else:
         rows = rows.withColumn("char_distance", none).withColumn("word_distance", none)
     far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
