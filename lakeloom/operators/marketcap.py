@@ -202,7 +202,7 @@ def float_table(floats: DataFrame, caps: DataFrame) -> DataFrame:
     j = j.withColumn("ratio", r).withColumn("_fix", F.get(F.filter(fixes, lambda f: (F.col("ratio") * f).between(0.05, 1.1)), F.lit(0)))
     fine = F.col("ratio").between(0.01, 1.1)
     fixed = F.when(fine, F.col("ratio")).otherwise(F.col("ratio") * F.col("_fix"))
-    return j.withColumn("unit_fixed", F.coalesce(~fine & F.col("_fix").isNotNull(), F.lit(False))).withColumn("float_share", F.least(fixed, F.lit(1.0))).drop("_fix")
+    return j.withColumn("unit_fixed", F.coalesce(~fine & F.col("_fix").isNotNull(), F.lit(False))).withColumn("float_share", F.when(fixed.isNotNull(), F.least(fixed, F.lit(1.0)))).drop("_fix")
 
 
 def add_float(panel: DataFrame, floats: DataFrame) -> DataFrame:
