@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Labelled rows that references are learned from, at most (those with the smallest hash of their id).
 SAMPLE_DOCS = 4000
 #: Common words of a language, and languages with a reference (those with the most labelled rows in the sample).
@@ -57,26 +59,20 @@ def _count(text: Column, chars: str) -> Column:
     return total
 
 
-def _class_counts(text: Column) -> list[Column]:
-    lower = F.length(F.regexp_replace(text, "[^\\p{Ll}]+", ""))
-    upper = F.length(F.regexp_replace(text, "[^\\p{Lu}]+", ""))
-    known = [lower, upper, _count(text, "0123456789"), _count(text, _WHITE), _count(text, PUNCTUATION), _count(text, SYMBOLS)]
+def _class_counts(text: Column, white: Column, symbols: Column) -> list[Column]:
+    of = lambda chars: F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
+    known = [of("\\p{Ll}"), of("\\p{Lu}"), of("0-9"), white, of(PUNCTUATION.replace("-", "\\-")), symbols]
     total = known[0]
     for c in known[1:]:
         total = total + c
     return [*known, F.length(text) - total]
 
 
-def _spaced(text: Column) -> Column:
-    """The text in lower case with two blanks between words, so that each word has blanks of its own."""
-    out = F.lower(text)
-    for c in _WHITE[1:]:
-        out = F.replace(out, F.lit(c), F.lit(" "))
-    return F.concat(F.lit(" "), F.replace(out, F.lit(" "), F.lit("  ")), F.lit(" "))
-
+def base_rules(docs: DataFrame, text_col: str = "text", common: list[str] | None = None) -> DataFrame:
+    """The rows with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed`` added.
 
-def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed`` added."""
+    With ``common`` also ``_common``: the text's words that are among these.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.withColumn("_words", F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(_WORD[:-1]))
@@ -97,6 +93,8 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(5), p - acc["last"]).cast("long")).alias("n")),
         lambda acc: acc["n"],
     )
+    if common:
+        rows = rows.withColumn("_common", F.filter("_words", lambda w: w.isin(common)))
     return (
         rows.withColumn("word_chars", (F.length(text) - _count(text, _WHITE)).cast("long"))
         .withColumn("n_symbols", _count(text, SYMBOLS).cast("long"))
@@ -109,15 +107,20 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def learn_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> dict[str, Reference]:
     """References from at most ``sample_docs`` rows with a text and a language. No such rows: no references."""
-    labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    counts = sample.groupBy("lang").agg(F.count("*").alias("rows"), *[F.sum(c).alias(n) for c, n in zip(_class_counts(F.col("text")), _CLASSES, strict=True)])
+    # chosen by ids alone, so that no texts are gathered to be ordered
+    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and doc_id is not null")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("doc_id").distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    sample = written(rows.join(F.broadcast(chosen), "doc_id", "left_semi"), "quality-sample")
+    text = F.col("text")
+    classes = _class_counts(text, _count(text, _WHITE), _count(text, SYMBOLS))
+    counts = sample.groupBy("lang").agg(F.count("*").alias("rows"), *[F.sum(c).alias(n) for c, n in zip(classes, _CLASSES, strict=True)])
     found: dict[str, Reference] = {}
     for r in counts.where(F.col("rows") >= MIN_ROWS).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect():
         total = sum(r[c] for c in _CLASSES)
         if total:
             found[r["lang"]] = Reference([r[c] / total for c in _CLASSES])
-    words = sample.select("lang", F.explode(F.filter(F.split(_spaced(F.col("text")), " +"), lambda w: w != "")).alias("word"))
+    words = sample.select("lang", F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("word"))
     by_word = words.groupBy("lang", "word").count().withColumn("total", F.sum("count").over(W.partitionBy("lang")))
     top = by_word.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= COMMON_WORDS)
     for r in top.orderBy("lang", "rank").collect():  # COMMON_WORDS a language
@@ -157,23 +160,23 @@ def quality(docs: DataFrame, references: dict[str, Reference], id_col: str = "do
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"), *(keep or []))
     extra = rows.columns[3:]
-    rows = base_rules(rows).withColumn("_spaced", _spaced(F.col("text")))
+    rows = base_rules(rows, common=sorted({w for r in references.values() for w in r.words}))
     none = F.lit(None).cast("double")
     if references:
         size = F.greatest(F.length("text"), F.lit(1))
-        rows = rows.withColumn("_chars", F.array(*[c / size for c in _class_counts(F.col("text"))]))
+        rows = rows.withColumn("_chars", F.array(*[c / size for c in _class_counts(F.col("text"), F.length("text") - F.col("word_chars"), F.col("n_symbols"))]))
         own = F.filter(_literal(references), lambda r: F.coalesce(r["lang"] == F.col("lang"), F.lit(False)))
         # the row's language, or every reference where its language has none
         rows = rows.withColumn("_own", own).withColumn("_refs", F.when(F.size("_own") > 0, F.col("_own")).otherwise(_literal(references)))
 
         def word_distance(r: Column) -> Column:
-            seen = lambda w: (F.octet_length("_spaced") - F.octet_length(F.replace("_spaced", F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2.0)
-            shares = F.transform(r["words"], lambda w: seen(w) / F.col("n_words"))
+            shares = F.transform(r["words"], lambda w: F.size(F.filter("_common", lambda x: x == w)) / F.col("n_words"))
             with_rest = F.transform(F.array(shares), lambda s: F.concat(s, F.array(F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate(s, F.lit(0.0), lambda a, x: a + x)))))
             return _distance(with_rest[0], r["shares"])
 
         rows = rows.withColumn("char_distance", F.when(F.length("text") >= MIN_CHARS, F.array_min(F.transform("_refs", lambda r: _distance(F.col("_chars"), r["chars"])))))
-        rows = rows.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, F.array_min(F.transform("_refs", word_distance))))
+        distance = F.array_min(F.transform("_refs", word_distance)) if "_common" in rows.columns else none
+        rows = rows.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS, distance))
     else:
         rows = rows.withColumn("char_distance", none).withColumn("word_distance", none)
     far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)

@@ -55,7 +55,7 @@ def test_divergence_against_plain_python(small_docs, edge_docs):
             rows.setdefault((r.doc_id, r.own_text), r)
         for r in rows.values():
             text = r.own_text or ""
-            letters = [w.lower() for w in WORD.findall(text)]
+            letters = WORD.findall(text)
             near = [references[r.own_lang]] if r.own_lang in references else list(references.values())
             if len(text) < quality.MIN_CHARS:
                 assert r.char_distance is None
