@@ -23,8 +23,12 @@ from .common import written
 
 #: Labelled rows that references are learned from, at most (those with the smallest hash of their id).
 SAMPLE_DOCS = 4000
-#: Common words of a language, and languages with a reference (those with the most labelled rows in the sample).
+#: A language's common words: the most frequent words with a letter, as many as make up this share of its words, within these bounds.
+#: A text that holds none of them is then 0.346 or more away, beyond ``MAX_WORD_DISTANCE``.
+COMMON_SHARE = 0.22
 COMMON_WORDS = 24
+MOST_COMMON_WORDS = 512
+#: Languages with a reference (those with the most labelled rows in the sample).
 LANGUAGES = 32
 #: A language needs so many rows in the sample for a reference.
 MIN_ROWS = 20
@@ -33,7 +37,7 @@ MIN_CHARS = 200
 MIN_WORDS = 60
 #: Jensen-Shannon distances (0 to 1) beyond which a document is dropped.
 MAX_CHAR_DISTANCE = 0.32
-MAX_WORD_DISTANCE = 0.45
+MAX_WORD_DISTANCE = 0.33
 
 _WHITE = " \t\n\u000b\f\r"
 _WORD = "[^\\x20\\x09-\\x0D]+"
@@ -122,9 +126,10 @@ def learn_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             found[r["lang"]] = Reference([r[c] / total for c in _CLASSES])
     words = sample.select("lang", F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("word"))
     by_word = words.groupBy("lang", "word").count().withColumn("total", F.sum("count").over(W.partitionBy("lang")))
-    top = by_word.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= COMMON_WORDS)
-    for r in top.orderBy("lang", "rank").collect():  # COMMON_WORDS a language
-        if r["lang"] in found:
+    lettered = by_word.where(F.col("word").rlike("\\p{L}"))  # signs are the classes' matter
+    top = lettered.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= MOST_COMMON_WORDS)
+    for r in top.orderBy("lang", "rank").collect():  # MOST_COMMON_WORDS a language
+        if r["lang"] in found and (r["rank"] <= COMMON_WORDS or math.fsum(found[r["lang"]].shares) < COMMON_SHARE):
             found[r["lang"]].words.append(r["word"])
             found[r["lang"]].shares.append(r["count"] / r["total"])
     return found
@@ -170,7 +175,7 @@ def quality(docs: DataFrame, references: dict[str, Reference], id_col: str = "do
         rows = rows.withColumn("_own", own).withColumn("_refs", F.when(F.size("_own") > 0, F.col("_own")).otherwise(_literal(references)))
 
         def word_distance(r: Column) -> Column:
-            shares = F.transform(r["words"], lambda w: F.size(F.filter("_common", lambda x: x == w)) / F.col("n_words"))
+            shares = F.transform(r["words"], lambda w: (F.size("_common") - F.size(F.array_remove("_common", w))) / F.col("n_words"))
             with_rest = F.transform(F.array(shares), lambda s: F.concat(s, F.array(F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate(s, F.lit(0.0), lambda a, x: a + x)))))
             return _distance(with_rest[0], r["shares"])
 

@@ -87,3 +87,19 @@ def test_labelled_quality(spark, sf_dir):
     rows = quality.quality(docs, quality.learn_references(docs)).join(labels, "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()
     share = {r.quality: r.share for r in rows}
     assert share[1] > 0.99 and share[0] < 0.75
+
+
+def test_texts_without_the_common_words_are_dropped(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    references = quality.learn_references(docs)
+    good = docs.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id")
+    odd = spark.range(40).selectExpr("id as doc_id", "array_join(transform(sequence(1, 120), i -> translate(substr(md5(concat(id, ' ', i)), 1, 4 + cast(i % 6 as int)), '0123456789', 'ghiklmnoqr')), ' ') as text", "'en' as lang")
+    german = good.where("lang = 'de'").selectExpr("doc_id", "text", "'en' as lang")
+    share = lambda df: df.where("n_words >= 60 and not base_failed").agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    assert share(quality.quality(odd, references)) == 0
+    assert share(quality.quality(german, references)) < 0.1
+    assert share(quality.quality(good, references)) > 0.99
+    for reference in references.values():
+        assert all(re.search(r"[^\W\d_]", w) for w in reference.words)
+        none = distance([0] * len(reference.words) + [1], [*reference.shares, 1 - sum(reference.shares)])
+        assert none > quality.MAX_WORD_DISTANCE
