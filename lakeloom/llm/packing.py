@@ -3,19 +3,26 @@
 A histogram over all rows gives, by dynamic programming, the bucket boundaries that minimise padding. Inside
 each bucket rows are laid in order of length and cut into batches of at most a budget of padded tokens.
 
-Scale: the histogram has at most ``MAX_BINS`` bins whatever the input, so the driver's part is constant. A
-row's place in its bucket is (places of shorter bins) + (places of earlier salts of its bin) + (rank within bin
-and salt); salts are so many that a length shared by a third of all rows is spread like any other.
+Scale: the histogram has a bin for each length below ``EXACT`` and ``PER_OCTAVE`` bins for each doubling beyond, so one
+long text coarsens no other's bin; a bin carries its exact largest length. That is at most ``MAX_BINS`` bins whatever the
+input (lengths up to 2^39), so the driver's part is constant. A row's place in its bucket is (places of shorter
+bins) + (places of earlier salts of its bin) + (rank within bin and salt); salts are so many that a length shared by
+a third of all rows is spread like any other.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_BINS = 4096
+#: Lengths below this have a bin each; beyond, lengths of a bin differ by less than one part in PER_OCTAVE.
+EXACT = 1 << 15
+PER_OCTAVE = 1 << 12
+MAX_BINS = 1 << 17
 BUCKETS = 32
 TOKEN_BUDGET = 1 << 18
 #: Rows ranked together at most, roughly; with many partitions fewer.
@@ -24,20 +31,33 @@ MAX_RANKED = 8192
 
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """The at most ``buckets`` boundaries, from ascending distinct lengths and their counts, with the least padding."""
-    lengths, counts = np.asarray(lengths, np.float64), np.asarray(counts, np.float64)
-    n = lengths.size
+    lengths, counts = np.asarray(lengths).astype(np.int64).tolist(), np.asarray(counts).astype(np.int64).tolist()
+    n = len(lengths)
     if not n:
         return []
-    upto = np.r_[0.0, np.cumsum(counts)]
-    best = lengths * upto[1:]  # one bucket for the first j + 1 lengths
-    choice: list[np.ndarray] = []
+    upto = [0, *itertools.accumulate(counts)]
+    best = [x * c for x, c in zip(lengths, upto[1:], strict=True)]  # one bucket for the first j + 1 lengths
+    choice: list[list[int]] = []
     for _ in range(1, min(buckets, n)):
-        after, pick = best.copy(), np.full(n, -1)
+        # a bucket from i + 1 to j costs best[i] + lengths[j] * (upto[j + 1] - upto[i + 1]): lines in lengths[j] with falling
+        # slopes, of which the lower hull is kept, asked at rising lengths
+        after, pick = best.copy(), [-1] * n
+        hull: list[int] = []
+        at = 0
         for j in range(1, n):
-            cost = best[:j] + lengths[j] * (upto[j + 1] - upto[1 : j + 1])
-            i = int(cost.argmin())
-            if cost[i] < after[j]:
-                after[j], pick[j] = cost[i], i
+            new = j - 1
+            while len(hull) - at >= 2:
+                one, two = hull[-2], hull[-1]
+                if (best[new] - best[one]) * (upto[two + 1] - upto[one + 1]) > (best[two] - best[one]) * (upto[new + 1] - upto[one + 1]):
+                    break
+                hull.pop()
+            hull.append(new)
+            x = lengths[j]
+            while at + 1 < len(hull) and best[hull[at + 1]] - x * upto[hull[at + 1] + 1] < best[hull[at]] - x * upto[hull[at] + 1]:
+                at += 1
+            cost = best[hull[at]] + x * (upto[j + 1] - upto[hull[at] + 1])
+            if cost < after[j]:
+                after[j], pick[j] = cost, hull[at]
         choice.append(pick)
         best = after
     ends, j = [], n - 1
@@ -45,9 +65,9 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
         if pick[j] < 0:
             continue
         ends.append(j)
-        j = int(pick[j])
+        j = pick[j]
     ends.append(j)
-    return [int(lengths[j]) for j in reversed(ends)]
+    return [lengths[j] for j in reversed(ends)]
 
 
 def pack(
@@ -70,16 +90,15 @@ def pack(
     size = F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) + 1 if length is None else length
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("n_tokens"))
     spark = docs.sparkSession
-    top = rows.agg(F.max("n_tokens")).first()[0] or 0
-    width = max(1, -(-top // MAX_BINS))
-    bin_ = F.expr(f"cast(ceil(n_tokens / {width}D) as long) * {width}L")
-    histogram = sorted((b, n) for b, n in rows.groupBy(bin_.alias("bin")).count().collect())  # MAX_BINS + 1 rows at most
-    total = sum(n for _, n in histogram)
+    shift = f"if(n_tokens < {EXACT}, 0, length(bin(n_tokens)) - {PER_OCTAVE.bit_length()})"
+    bin_ = F.expr(f"shiftleft(shiftright(n_tokens, {shift}), {shift})")
+    histogram = sorted((b, top, n) for b, top, n in rows.groupBy(bin_.alias("bin")).agg(F.max("n_tokens"), F.count("*")).collect())  # MAX_BINS rows at most
+    total = sum(n for _, _, n in histogram)
     ranked = max(16, min(MAX_RANKED, total // (8 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    bounds = optimal_boundaries(np.array([b for b, _ in histogram]), np.array([n for _, n in histogram]), buckets)
+    bounds = optimal_boundaries(np.array([top for _, top, _ in histogram]), np.array([n for _, _, n in histogram]), buckets)
     plan, bucket, before = [], 0, 0
-    for b, n in histogram:
-        while b > bounds[bucket]:
+    for b, top, n in histogram:
+        while top > bounds[bucket]:
             bucket, before = bucket + 1, 0
         plan.append((b, bucket, bounds[bucket], before, -(-n // ranked)))
         before += n

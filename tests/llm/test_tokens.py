@@ -128,6 +128,24 @@ def test_packing(spark, small_docs, edge_docs, no_docs):
     assert packing.pack(no_docs).count() == 0
 
 
+def test_one_long_text_does_not_coarsen_the_buckets(spark):
+    from pyspark.sql import functions as F
+
+    sizes = [*(i * i % 3001 + 1 for i in range(600)), *range(40000, 40300, 7), 5_000_000, 20_000_003]
+    docs = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, size long")
+    rows = packing.pack(docs.withColumn("text", F.lit("")), length=F.col("size"), buckets=8, token_budget=20000).collect()
+    check_packed(rows, 20000)
+    assert {r.doc_id: r.n_tokens for r in rows} == dict(enumerate(sizes))
+    lengths, counts = np.unique(sizes, return_counts=True)
+    upto = np.r_[0, np.cumsum(counts)]
+    best = lengths * upto[1:]  # plain dynamic programming over exact lengths
+    for _ in range(7):
+        best = np.array([min([best[j], *(best[i] + lengths[j] * (upto[j + 1] - upto[i + 1]) for i in range(j))]) for j in range(lengths.size)])
+    optimum = int(best[-1]) - sum(sizes)
+    assert optimum <= sum(r.padding for r in rows) <= optimum + sum(x for x in sizes if x >= packing.EXACT) / packing.PER_OCTAVE
+    assert {r.bucket_tokens for r in rows} <= set(sizes)
+
+
 def test_one_length_is_spread(spark):
     docs = spark.range(3000).selectExpr("id as doc_id", "'same' as text")
     check_packed(packing.pack(docs, token_budget=64).collect(), 64)
