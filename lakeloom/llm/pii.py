@@ -3,8 +3,9 @@
 Candidates come from four base patterns and from looser ones. Labelers vote on each candidate: the base pattern, the
 format, a gazetteer (top-level domains, calling codes, card issuers, address ranges), the context before it and its
 borders. Expectation-maximisation estimates how reliable each labeler is from the counts of vote patterns, and a
-logistic span classifier is trained on the posteriors. Base spans stay in any case; a looser candidate becomes a
-span where the classifier is sure.
+logistic span classifier is trained on the posteriors. Valid base matches are known examples, base matches that fail their
+test (octets over 255, a bad Luhn sum, a wrong count of digits) known counterexamples; looser candidates are a class with a
+prior of its own. Base spans stay in any case; a looser candidate becomes a span where the classifier is sure.
 
 Scale: no shuffle but the counts of vote patterns, which are at most a few thousand rows whatever the input; the
 fitted weights return as literals. Patterns are possessive, so long texts need no backtracking and no deep stack.
@@ -12,9 +13,11 @@ fitted weights return as literals. Patterns are possessive, so long texts need n
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +62,8 @@ CONTEXT = 32
 LABELERS = ["pattern", "format", "gazetteer", "context", "border"]
 #: Probability from which a looser candidate becomes a span.
 SURE = 0.9
+#: The prior of a looser candidate is at most even, so the classifier's bias for one is at most 0.
+MOST_LOOSE = 0.5
 _MATCH = "struct<lo: int, hi: int, hit: string, loose: boolean>"
 
 
@@ -101,24 +106,33 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.length(digits).between(8, 15)
 
 
+def _fails(kind: str, hit: Column) -> Column:
+    """Whether a match is a counterexample: it looks like the kind and fails the base test."""
+    if kind == "email":
+        return F.lit(False)
+    fails = ~_valid(kind, hit)
+    return F.length(_digits(hit)).between(16, 19) & fails if kind == "card" else fails
+
+
 def _loose_valid(kind: str, hit: Column) -> Column:
     return _luhn(_digits(hit)) if kind == "card" else F.lit(True)
 
 
-def _found(text: Column, kind: str) -> Column:
-    """Base spans, and looser ones that overlap none of them."""
+def _found(text: Column, kind: str, failed: bool) -> Column:
+    """Base spans, looser ones, and with ``failed`` the base matches that are counterexamples."""
     none = F.array().cast(f"array<{_MATCH}>")
     needs = F.contains(text, F.lit(_NEEDS[kind])) if kind in ("email", "phone") else text.rlike(_NEEDS[kind])
-    base = F.when(needs, F.filter(_matches(text, BASE[kind], False), lambda m: _valid(kind, m["hit"]))).otherwise(none)
+    of = lambda test: F.when(needs, F.filter(_matches(text, BASE[kind], False), lambda m: test(kind, m["hit"]))).otherwise(none)
+    base = of(_valid)
     loose = F.when(text.rlike(_NEEDS_LOOSE[kind]), F.filter(_matches(text, LOOSE[kind], True), lambda m: _loose_valid(kind, m["hit"]))).otherwise(none)
-    return F.struct(base.alias("base"), loose.alias("loose"))
+    return F.struct(base.alias("base"), loose.alias("loose"), (of(_fails) if failed else none).alias("failed"))
 
 
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _votes(kind: str, m: Column, text: Column) -> dict[str, Column]:
+def _votes(kind: str, m: Column, text: Column, base: int) -> dict[str, Column]:
     hit, digits = m["hit"], _digits(m["hit"])
     before = F.substr(text, F.greatest(m["lo"] - CONTEXT + 1, F.lit(1)), F.least(m["lo"], F.lit(CONTEXT)))
     left = F.substr(text, m["lo"], F.when(m["lo"] > 0, 1).otherwise(0))
@@ -137,7 +151,7 @@ def _votes(kind: str, m: Column, text: Column) -> dict[str, Column]:
         "phone": _vote(code.isin(CALLING_CODES) | F.substr(code, F.lit(1), F.lit(2)).isin(CALLING_CODES) | F.substr(code, F.lit(1), F.lit(1)).isin(["1", "7"]), code.startswith("0")),
     }[kind]
     return {
-        "pattern": F.when(m["loose"], 0).otherwise(1),
+        "pattern": F.when(m["loose"], 0).otherwise(base),
         "format": form,
         "gazetteer": gazetteer,
         "context": _vote(before.rlike(CUES[kind]), before.rlike(AGAINST)),
@@ -146,29 +160,32 @@ def _votes(kind: str, m: Column, text: Column) -> dict[str, Column]:
 
 
 def _labelled(kind: str) -> Column:
-    """The candidates of a kind, looser ones apart from base ones, with their votes."""
+    """The candidates of a kind, looser ones apart from base ones, and the counterexamples, with their votes."""
     base, loose = F.col(f"_{kind}")["base"], F.col(f"_{kind}")["loose"]
     apart = F.filter(loose, lambda m: ~F.exists(base, lambda b: (b["lo"] < m["hi"]) & (m["lo"] < b["hi"])))
 
-    def labelled(m: Column) -> Column:
-        votes = _votes(kind, m, F.col("text"))
+    def labelled(m: Column, base_vote: int = 1) -> Column:
+        votes = _votes(kind, m, F.col("text"), base_vote)
         return F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["lo"].alias("lo"), m["hi"].alias("hi"), m["loose"].alias("loose"), F.array(*[votes[v] for v in LABELERS]).alias("votes"))
 
-    return F.transform(F.concat(base, apart), labelled)
+    return F.concat(F.transform(F.concat(base, apart), lambda m: labelled(m)), F.transform(F.col(f"_{kind}")["failed"], lambda m: labelled(m, -1)))
+
 
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None, failed: bool = False) -> DataFrame:
+    """``doc_id, text, found``: all candidates as an array of structs (kind, lo, hi, loose, votes), ordered by kind and place.
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
-    """``doc_id, text, found``: all candidates as an array of structs (kind, lo, hi, loose, votes), ordered by kind and place."""
+    With ``failed`` the counterexamples too; the pattern labeler votes -1 on them.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(keep or []))
     extra = rows.columns[2:]
-    rows = rows.select("*", *[_found(F.col("text"), k).alias(f"_{k}") for k in KINDS])
+    rows = rows.select("*", *[_found(F.col("text"), k, failed).alias(f"_{k}") for k in KINDS])
     lists = [_labelled(kind) for kind in KINDS]
     return rows.select("doc_id", "text", F.concat(*lists).alias("found"), *extra)
 
 
 @dataclass
 class Model:
-    """Reliabilities (kind -> labeler -> accuracy) and the span classifier's weights (kind -> bias, then votes)."""
+    """Reliabilities (kind -> labeler -> accuracy) and the span classifier's weights (kind -> bias, then a labeler's votes for, then its votes against)."""
 
     reliability: dict[str, list[float]]
     weights: dict[str, list[float]]
@@ -178,54 +195,72 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[list[float], list[float]]:
+def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, known: list[float | None] | None = None) -> tuple[list[float], list[float]]:
     """Accuracies of the labelers and the posterior of each vote pattern, from patterns with their counts.
 
-    A labeler that does not abstain (vote 0) is right with its accuracy whatever the truth. Accuracies are kept between
-    0.55 and 0.99 (labelers are better than chance) by a prior of 8 right and 2 wrong votes.
+    A labeler that does not abstain (vote 0) is right with one rate on spans and with another on what is none. Rates are
+    kept between 0.01 and 0.99 by a prior of 8 right and 2 wrong votes each; accuracies between 0.55 and 0.99. Patterns with
+    a ``known`` posterior keep it and, where that list is given, alone set the rates; the others share a prior, then at most ``MOST_LOOSE``.
     """
+    accuracy, posterior, _, _ = _label_model(patterns, rounds, known)
+    return accuracy, posterior
+
+
+def _label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int, known: list[float | None] | None) -> tuple[list[float], list[float], float, list[tuple[float, float]]]:
+    """Accuracies, posteriors, the prior of patterns that are not known, and the evidence (log odds) of each labeler's votes for and against."""
     n = len(LABELERS)
-    accuracy, share, posterior = [0.8] * n, 0.7, [0.0] * len(patterns)
+    fixed = known or [None] * len(patterns)
+    most = 0.95 if known is None else MOST_LOOSE
+    accuracy, share, posterior = [0.8] * n, min(0.7, most), [0.0] * len(patterns)
+    evidence = [(math.log(4), -math.log(4))] * n
     for _ in range(rounds):
         for i, (votes, _) in enumerate(patterns):
-            score = math.log(share / (1 - share))
-            for v, a in zip(votes, accuracy, strict=True):
-                score += v * math.log(a / (1 - a))
-            posterior[i] = _sigmoid(score)
-        right, seen = [8.0] * n, [10.0] * n
+            posterior[i] = _pattern_posterior(votes, share, evidence) if fixed[i] is None else fixed[i]
+        right, seen = [[8.0] * n, [8.0] * n], [[10.0] * n, [10.0] * n]  # on what is no span, on spans
         total = found = 0.0
-        for (votes, count), p in zip(patterns, posterior, strict=True):
-            total += count
-            found += count * p
+        for (votes, count), p, k in zip(patterns, posterior, fixed, strict=True):
+            if k is None:
+                total += count
+                found += count * p
+            if k is None and known is not None:
+                continue  # rates come from what is known; candidates in doubt would otherwise wear away what could confirm them
             for j, v in enumerate(votes):
                 if v:
-                    seen[j] += count
-                    right[j] += count * (p if v > 0 else 1 - p)
+                    for truth, part in ((0, 1 - p), (1, p)):
+                        seen[truth][j] += count * part
+                        right[truth][j] += count * part * (v > 0 if truth else v < 0)
         before = accuracy
-        accuracy = [min(0.99, max(0.55, r / s)) for r, s in zip(right, seen, strict=True)]
-        share = min(0.95, max(0.05, (found + 7) / (total + 10)))
+        rate = [[min(0.99, max(0.01, a / b)) for a, b in zip(right[t], seen[t], strict=True)] for t in (0, 1)]
+        # a vote for is never evidence against, nor the other way
+        evidence = [(max(0.0, math.log(hit / (1 - miss))), min(0.0, math.log((1 - hit) / miss))) for miss, hit in zip(*rate, strict=True)]
+        accuracy = [min(0.99, max(0.55, (right[0][j] + right[1][j]) / (seen[0][j] + seen[1][j]))) for j in range(n)]
+        share = min(most, max(0.05, (found + 7) / (total + 10)))
         if max(abs(a - b) for a, b in zip(before, accuracy, strict=True)) < 1e-6:
             break
-    return accuracy, posterior
+    return accuracy, posterior, share, evidence
+
+
+def _pattern_posterior(votes: tuple[int, ...], share: float, evidence: list[tuple[float, float]]) -> float:
+    return _sigmoid(math.log(share / (1 - share)) + sum(e[0] if v > 0 else e[1] for v, e in zip(votes, evidence, strict=True) if v))
 
 
-def train_classifier(patterns: list[tuple[tuple[int, ...], int]], posterior: list[float], steps: int = 300, ridge: float = 0.01) -> list[float]:
-    """Logistic weights (bias, then one a labeler) for the posteriors, by gradient steps on the pattern counts."""
-    total = sum(c for _, c in patterns) or 1
-    w = [0.0] * (len(LABELERS) + 1)
+def train_classifier(patterns: list[tuple[tuple[int, ...], int]], posterior: list[float], steps: int = 3000, ridge: float = 0.0001) -> list[float]:
+    """Logistic weights (bias, then one for each labeler's vote for, then one for each vote against) for the posteriors, by gradient steps on the pattern counts."""
+    votes, counts = np.array([v for v, _ in patterns]), np.array([c for _, c in patterns], np.float64)
+    x = np.hstack([np.ones((len(patterns), 1)), votes > 0, votes < 0])
+    w, shrink = np.zeros(x.shape[1]), np.r_[0.0, np.full(x.shape[1] - 1, ridge)]
     for _ in range(steps):
-        g = [0.0] * len(w)
-        for (votes, count), p in zip(patterns, posterior, strict=True):
-            error = (_sigmoid(w[0] + sum(a * v for a, v in zip(w[1:], votes, strict=True))) - p) * count / total
-            g[0] += error
-            for j, v in enumerate(votes):
-                g[j + 1] += error * v
-        w = [x - 2.0 * (d + (ridge * x if j else 0)) for j, (x, d) in enumerate(zip(w, g, strict=True))]
-    return w
+        error = (1 / (1 + np.exp(-(x @ w))) - posterior) * counts / counts.sum()
+        w -= 2.0 * (x.T @ error + shrink * w)
+    return w.tolist()
 
 
 def fit(found: DataFrame) -> Model:
-    """Reliabilities and weights from all candidates of ``candidates``; without candidates of a kind its weights accept none."""
+    """Reliabilities and weights from all candidates of ``candidates``, best with the counterexamples; without candidates of a kind its weights accept none.
+
+    The classifier learns the posterior of every pattern that a looser candidate can have, seen or not, beside those of the
+    candidates seen: valid base matches would otherwise be all it learns from.
+    """
     spans = found.where(F.size("found") > 0).select(F.explode("found").alias("m"))
     counts = spans.groupBy(F.col("m.kind").alias("kind"), *[F.col("m.votes")[j].alias(f"v{j}") for j in range(len(LABELERS))]).count()
     by_kind: dict[str, list] = {k: [] for k in KINDS}
@@ -233,9 +268,16 @@ def fit(found: DataFrame) -> Model:
         by_kind[KINDS[r["kind"]]].append((tuple(r[f"v{j}"] for j in range(len(LABELERS))), r["count"]))
     model = Model({}, {})
     for kind, patterns in by_kind.items():
-        accuracy, posterior = expectation_maximisation(patterns)
+        known = [{1: 1.0, -1: 0.0}.get(votes[0]) for votes, _ in patterns]
+        accuracy, posterior, share, evidence = _label_model(patterns, 50, known)
         model.reliability[kind] = accuracy
-        model.weights[kind] = train_classifier(patterns, posterior) if patterns else [-9.0] + [0.0] * len(LABELERS)
+        if not patterns:
+            model.weights[kind] = [-9.0] + [0.0] * (2 * len(LABELERS))
+            continue
+        seen = sum(count for _, count in patterns)
+        every = [(0, *votes) for votes in itertools.product((-1, 0, 1), repeat=len(LABELERS) - 1)]
+        examples = [(votes, count / seen) for votes, count in patterns] + [(votes, 4 / len(every)) for votes in every]
+        model.weights[kind] = train_classifier(examples, [*posterior, *(_pattern_posterior(votes, share, evidence) for votes in every)])
     return model
 
 
@@ -247,13 +289,14 @@ def detect(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id",
     """
     found = candidates(docs, id_col, text_col, keep)
     if model is None:
-        model = fit(candidates(docs, id_col, text_col))
+        model = fit(candidates(docs, id_col, text_col, failed=True))
     weights = F.array(*[F.array(*[F.lit(float(w)) for w in model.weights[k]]) for k in KINDS])
     kinds = F.array(*[F.lit(k) for k in KINDS])
 
     def scored(m: Column) -> Column:
         w = F.element_at(weights, m["kind"] + 1)
-        logit = F.aggregate(F.zip_with(m["votes"], F.slice(w, 2, len(LABELERS)), lambda v, a: v * a), F.element_at(w, 1), lambda acc, x: acc + x)
+        part = lambda v, at: F.when(v > 0, F.element_at(w, at + 2)).when(v < 0, F.element_at(w, at + len(LABELERS) + 2)).otherwise(0.0)
+        logit = F.aggregate(F.transform(m["votes"], part), F.element_at(w, 1), lambda acc, x: acc + x)
         return F.struct(m["kind"].alias("rank"), m["lo"].alias("lo"), m["hi"].alias("hi"), F.element_at(kinds, m["kind"] + 1).alias("kind"), m["loose"].alias("loose"), (1 / (1 + F.exp(-logit))).alias("score"))
 
     spans = F.sort_array(F.filter(F.transform("found", scored), lambda s: ~s["loose"] | (s["score"] >= SURE)))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -96,6 +97,24 @@ def test_looser_spans_need_support(spark):
     assert out[200] == []
 
 
+def test_looser_spans_with_votes_against_are_rejected(spark):
+    rows = [(i, f"please phone +1 212 555 {i:04d} or mail to jo{i}@example.com today") for i in range(400)]
+    rows += [(1000 + i, f"please call our phone 212 555 0{i:03d} today") for i in range(30)]
+    rows += [(2000 + i, f"see order 212 555 0{i:03d} of this year") for i in range(30)]
+    rows += [(3000 + i, f"as in version x212 555 0{i:03d}y of it") for i in range(30)]
+    rows += [(4000 + i, f"reading +{i % 10}1 2 degrees on the dial") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: [(s.kind, s.loose) for s in r.spans] for r in pii.detect(df).collect()}
+    assert all(sorted(out[i]) == [("email", False), ("phone", False)] for i in range(400))
+    assert all(out[1000 + i] == [("phone", True)] for i in range(30))
+    assert all(out[at + i] == [] for at in (2000, 3000) for i in range(30))
+    assert all(out[4000 + i] == [] for i in range(40))
+    against = lambda found: {k: pii.fit(found).weights[k] for k in ("email", "phone")}
+    for w in against(pii.candidates(df, failed=True)).values():
+        lowest = w[0] + sum(w[len(pii.LABELERS) + 2 :])  # every labeler but the pattern votes against
+        assert w[0] < math.log(pii.SURE / (1 - pii.SURE)) and 1 / (1 + math.exp(-lowest)) < 0.5
+
+
 def test_redaction(spark):
     texts = ["mail a.b@c.de and 10.1.2.3 now", "none", "+1 212 555 0123; 4111 1111 1111 1111 x", "é +49 170 1234567"]
     df = pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
