@@ -1,11 +1,13 @@
 """What the text operators share: scratch space, column hygiene, Arrow batches, flat gathers.
 
 Scratch space is the folder that the cluster names in ``spark.checkpoint.dir``. Tables and files
-written there cut lineage and survive the loss of an executor.
+written there cut lineage and survive the loss of an executor. What a session wrote stays until ``clear_scratch`` is
+called, since results are read from it lazily; the corpus pipeline clears after each stage.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,18 +18,40 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import delete
+
 #: Bytes of text handled at once inside a Python worker.
 CHUNK_BYTES = 4 << 20
 
 
+_scratch_paths: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder of the session; one is set only where none is (as in tests)."""
+    """A new path under the shared folder of the session; where none is set, one is set on a local master only."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lakeloom-")
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch_paths.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _scratch_paths[-1]
+
+
+def scratch_mark() -> int:
+    """A mark for ``clear_scratch``: what is written from now on."""
+    return len(_scratch_paths)
+
+
+def clear_scratch(mark: int = 0, keep: Iterable[str] = ()) -> None:
+    """Delete the scratch paths of this process since a mark, but for ``keep``. Results that are read from them must be done with."""
+    kept = set(keep)
+    for path in _scratch_paths[mark:]:
+        if path not in kept:
+            delete(path)
+    _scratch_paths[mark:] = [p for p in _scratch_paths[mark:] if p in kept]
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:

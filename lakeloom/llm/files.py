@@ -10,6 +10,13 @@ def place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def delete(uri: str) -> None:
+    """Delete a folder with what is in it; nothing happens where there is none."""
+    system, path = place(uri)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
+
+
 def make_folder(uri: str) -> None:
     system, path = place(uri)
     system.create_dir(path, recursive=True)

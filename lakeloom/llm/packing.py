@@ -5,9 +5,10 @@ each bucket rows are laid in order of length and cut into batches of at most a b
 
 Scale: the histogram has a bin for each length below ``EXACT`` and ``PER_OCTAVE`` bins for each doubling beyond, so one
 long text coarsens no other's bin; a bin carries its exact largest length. That is at most ``MAX_BINS`` bins whatever the
-input (lengths up to 2^39), so the driver's part is constant. A row's place in its bucket is (places of shorter
-bins) + (places of earlier salts of its bin) + (rank within bin and salt); salts are so many that a length shared by
-a third of all rows is spread like any other.
+input (lengths up to 2^39), so the driver's part is constant. Lengths are counted once and written with a key of the row;
+texts are not read again. A row's place in its bucket is (places of shorter bins) + (places of earlier salts of its
+bin) + (rank within bin and salt); salts come from the row key and are so many that a length shared by a third of all
+rows, or an id that many rows share, is spread like any other.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import written
+from .wordbpe import count_ids
+
 #: Lengths below this have a bin each; beyond, lengths of a bin differ by less than one part in PER_OCTAVE.
 EXACT = 1 << 15
 PER_OCTAVE = 1 << 12
@@ -75,20 +79,27 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     length: Column | None = None,
+    vocabulary: str | None = None,
     buckets: int = BUCKETS,
     token_budget: int = TOKEN_BUDGET,
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, bucket, bucket_tokens, batch, slot, padding``.
 
-    ``length`` counts a row's tokens; by default the bytes of its text and an end token. ``bucket_tokens`` is the
+    A row's tokens are the ids that ``vocabulary`` (a file) gives its whole text and an end token, or what the column ``length``
+    says; without either, the bytes of its text and an end token. ``bucket_tokens`` is the
     bucket's boundary, ``batch`` numbers the batches of a bucket and ``slot`` the rows of a batch. A batch holds
     ``token_budget // bucket_tokens`` rows, one at least, so a text longer than the budget is a batch of its own.
 
     Defined cases: a null text counts as empty (length 1), a null or negative length as 0; rows with a null id and
     repeated rows are packed like others; an empty input gives no rows; other columns are ignored.
     """
-    size = F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) + 1 if length is None else length
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("n_tokens"))
+    if vocabulary is not None and length is None:
+        sized = count_ids(docs, vocabulary, id_col, text_col).withColumn("n_tokens", F.col("n_tokens") + 1)
+    else:
+        size = F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) + 1 if length is None else length
+        sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("n_tokens"))
+    # written, so that the keys of rows stay what they are
+    rows = written(sized.select("doc_id", "n_tokens", F.monotonically_increasing_id().alias("row_key")), "lengths")
     spark = docs.sparkSession
     shift = f"if(n_tokens < {EXACT}, 0, length(bin(n_tokens)) - {PER_OCTAVE.bit_length()})"
     bin_ = F.expr(f"shiftleft(shiftright(n_tokens, {shift}), {shift})")
@@ -103,13 +114,13 @@ def pack(
         plan.append((b, bucket, bounds[bucket], before, -(-n // ranked)))
         before += n
     bins = spark.createDataFrame(plan, "bin long, bucket int, bucket_tokens long, before long, salts long")
-    salted = rows.withColumn("bin", bin_).join(F.broadcast(bins), "bin").withColumn("salt", F.expr("pmod(xxhash64(doc_id), salts)"))
+    salted = rows.withColumn("bin", bin_).join(F.broadcast(bins), "bin").withColumn("salt", F.expr("pmod(xxhash64(row_key), salts)"))
     offsets = (
         salted.groupBy("bin", "salt").agg(F.count("*").alias("n"))
         .withColumn("earlier", F.coalesce(F.sum("n").over(W.partitionBy("bin").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         .select("bin", "salt", "earlier")
     )
-    rank = F.row_number().over(W.partitionBy("bin", "salt").orderBy("doc_id")) - 1
+    rank = F.row_number().over(W.partitionBy("bin", "salt").orderBy("row_key")) - 1
     place = salted.withColumn("rank", rank).join(offsets, ["bin", "salt"]).withColumn("place", F.expr("before + earlier + rank"))
     capacity = F.expr(f"greatest(1L, {token_budget}L div greatest(bucket_tokens, 1L))")
     return place.withColumn("capacity", capacity).select(

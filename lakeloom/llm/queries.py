@@ -48,7 +48,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_documents(spark, sf_dir))
+    return packing.pack(_documents(spark, sf_dir), vocabulary=word_vocabulary())
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

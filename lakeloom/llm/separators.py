@@ -40,6 +40,8 @@ def write_flat(docs: DataFrame, vocabulary: str, separator: int, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, special=False)
+        if len(enc.vocab.tokens) > 1 << 16:
+            raise ValueError(f"{vocabulary}: ids beyond 16 bits")
         task, part, out, path, held, ordinal = TaskContext.get().partitionId(), 0, None, "", 0, 0
         for batch in chunks(batches, 4 << 20):
             ids, counts = enc.encode(batch.column(1).to_pylist())

@@ -85,7 +85,8 @@ def write_sequences(
     """Encode with the tokenizers library and write one file per range of identifiers.
 
     Returns the files in order: (number, path, tokens, documents) -- a listing of files, not of documents. Null texts count as
-    empty (their only id is the end id); rows with a null id come first; of repeated ids the text decides the order. A lost
+    empty (their only id is the end id); rows with a null id come first; of repeated ids a hash of the text and the place in the
+    input decide the order, by which many rows of one id are spread over files. A lost
     task writes its file again under another name, and only the file of the successful attempt is listed.
     """
     spark = docs.sparkSession
@@ -104,7 +105,7 @@ def write_sequences(
                 path = f"{folder}/{number:06d}-{uuid.uuid4().hex}.arrow"
                 sink = system.open_output_stream(f"{base}/{path.rpartition('/')[2]}")
                 out = _Writer(sink, length, id_type, batch)
-            ids, counts = enc.encode(part.column(1).to_pylist())
+            ids, counts = enc.encode(part.column(1).to_pylist())  # of the columns doc_id, text, hash, at
             ids = np.insert(ids, np.cumsum(counts), end_id)
             out.add(ids, counts + 1, part.column(0).to_pylist())
             count += part.num_rows
@@ -113,7 +114,8 @@ def write_sequences(
             sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([path]), pa.array([out.tokens]), pa.array([count])], names=["number", "path", "n_tokens", "n_docs"])
 
-    ordered = only(docs, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = only(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("at"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "hash", "at").sortWithinPartitions("doc_id", "hash", "at")
     files = written(ordered.mapInArrow(run, "number long, path string, n_tokens long, n_docs long"), "sequence-files")
     return sorted(tuple(r) for r in files.collect())
 

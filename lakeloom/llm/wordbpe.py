@@ -1,7 +1,12 @@
 """BPE with word ends: encoding by a pair occurrence index, and decoding.
 
 The vocabulary file is one of the ``tokenizers`` library: NFC, white space folded, lower case, pieces by a
-pattern, byte-level symbols, ``</w>`` on the last symbol of a piece, no decoder. Its path is a parameter.
+pattern, byte-level symbols, ``</w>`` on the last symbol of a piece, no decoder. Its path is a parameter; a file with
+another normaliser or pre-tokeniser is refused.
+
+Text within Latin-1 is cut into pieces by a pattern of literal ranges, whatever Unicode version Python has. Any stretch
+between ASCII white space that holds another character goes through the library's own normaliser and pre-tokeniser;
+neither reaches across white space, so stretches do not depend on each other.
 
 A task gathers the distinct pieces of a few megabytes of text and encodes those it has not met: all symbols lie
 in one array, an index maps each mergeable pair (by its rank) to all its positions, the active ranks are
@@ -15,12 +20,10 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .common import chunks, flat_gather, only
@@ -32,10 +35,22 @@ _WHITE = r"\t-\r \x85\xa0"
 _NUMBERS = "0-9²³¹¼½¾"
 _LETTERS = "a-zªµºß-öø-ÿ"
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-#: The piece pattern for lower-case text within Latin-1, and for any text.
+#: The piece pattern for lower-case text within Latin-1.
 LATIN_PIECES = re.compile(f"{_CONTRACTIONS}|[{_LETTERS}]+|[{_NUMBERS}]|[^{_WHITE}{_LETTERS}{_NUMBERS}]+")
-ALL_PIECES = regex.compile(_CONTRACTIONS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}\x85]+")
 _BEYOND_LATIN = re.compile("[^\x00-\xff]")
+_STRETCHES = re.compile("[^\t-\r ]+")
+#: Stretches beyond Latin-1 that a worker remembers, and how long a remembered one may be.
+MAX_STRETCHES, STRETCH = 100_000, 256
+
+#: What the vocabulary file must say (fixed values).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def byte_symbols() -> list[str]:
@@ -51,6 +66,9 @@ class WordVocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if spec["normalizer"] != NORMALIZER or spec["pre_tokenizer"] != PRE_TOKENIZER:
+            raise ValueError(f"{path}: another normaliser or pre-tokeniser than this module's")
+        self.path = path
         model = spec["model"]
         self.ids: dict[str, int] = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
@@ -170,6 +188,8 @@ class WordEncoder:
         self.vocab = vocab
         self._encode = pieces_encoder or (lambda pieces: encode_pieces(vocab, [p.encode() for p in pieces]))
         self._special = re.compile("|".join(map(re.escape, sorted(vocab.special, key=len, reverse=True)))) if special and vocab.special else None
+        self._library = None
+        self._stretches: dict[str, list[str]] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -193,12 +213,30 @@ class WordEncoder:
         self._known.update(zip(pieces, range(known, known + len(pieces)), strict=True))
         self._used = need
 
-    @staticmethod
-    def _ordinary(text: str) -> list[str]:
+    def _ordinary(self, text: str) -> list[str]:
         if _BEYOND_LATIN.search(text) is None:
             return LATIN_PIECES.findall(text.lower())
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return ALL_PIECES.findall(text)
+        out = []
+        for stretch in _STRETCHES.findall(text):
+            out += LATIN_PIECES.findall(stretch.lower()) if _BEYOND_LATIN.search(stretch) is None else self._beyond(stretch)
+        return out
+
+    def _beyond(self, stretch: str) -> list[str]:
+        """The pieces that the library's own normaliser and pre-tokeniser make of a stretch."""
+        found = self._stretches.get(stretch)
+        if found is None:
+            if self._library is None:
+                from tokenizers import Tokenizer
+
+                self._library = Tokenizer.from_file(self.vocab.path)
+                self._bytes = {s: b for b, s in enumerate(byte_symbols())}
+            own = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(stretch))
+            found = [bytes(map(self._bytes.__getitem__, piece)).decode() for piece, _ in own]
+            if len(stretch) <= STRETCH:
+                if len(self._stretches) >= MAX_STRETCHES:
+                    self._stretches.clear()
+                self._stretches[stretch] = found
+        return found
 
     def pieces(self, text: str) -> list[str]:
         if self._special is None or "<|" not in text:
@@ -210,8 +248,8 @@ class WordEncoder:
             at = m.end()
         return out + self._ordinary(text[at:])
 
-    def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another (uint32), and the number of ids of each text."""
+    def _known_pieces(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the texts' pieces one after another, and the text each belongs to."""
         parts = [self.pieces(t) for t in texts]
         if len(self._known) > MAX_KNOWN:
             self._forget()
@@ -221,10 +259,21 @@ class WordEncoder:
         total = sum(map(len, parts))
         get = self._known.__getitem__
         which = np.fromiter((i for p in parts for i in map(get, p)), np.int64, total)
-        sizes = self._size[which]
-        ids = flat_gather(self._flat, self._start[which], sizes)
-        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        return ids, np.bincount(owner, weights=sizes, minlength=len(parts)).astype(np.int64)
+        return which, np.array([len(p) for p in parts], np.int64)
+
+    def _sizes(self, which: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        upto = np.r_[0, np.cumsum(self._size[which])]
+        ends = np.cumsum(pieces)
+        return upto[ends] - upto[ends - pieces]
+
+    def encode(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another (uint32), and the number of ids of each text."""
+        which, pieces = self._known_pieces(texts)
+        return flat_gather(self._flat, self._start[which], self._size[which]), self._sizes(which, pieces)
+
+    def count(self, texts: Iterable[str]) -> np.ndarray:
+        """The number of ids of each text."""
+        return self._sizes(*self._known_pieces(texts))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of the ids (UTF-8), special tokens included; without a decoder tokens are joined by blanks."""
@@ -282,3 +331,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             )
 
     return only(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+
+
+def count_ids(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens`` for every row: how many ids its whole text has. Cases as in ``encode_documents``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocabulary)
+        for batch in chunks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(enc.count(batch.column(1).to_pylist()))], names=["doc_id", "n_tokens"])
+
+    return only(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")

@@ -8,7 +8,7 @@ import pytest
 tokenizers = pytest.importorskip("tokenizers")
 
 from lakeloom.llm import packing, separators, sequences, wordbpe
-from lakeloom.llm.queries import END_ID, END_OF_TEXT, op3_bpe, op5_token_counts, op6_sequences, word_vocabulary
+from lakeloom.llm.queries import END_ID, END_OF_TEXT, op3_bpe, op4_packing, op5_token_counts, op6_sequences, word_vocabulary
 
 
 @pytest.fixture(scope="module")
@@ -117,17 +117,47 @@ def test_packing(spark, small_docs, edge_docs, no_docs):
     by_bucket = check_packed(rows, 20000)
     assert len(by_bucket) <= 6
     lengths, counts = np.unique(list(sizes.values()), return_counts=True)
-    width = max(1, -(-max(sizes.values()) // packing.MAX_BINS))
-    bins = -(-lengths // width) * width
-    ups = np.unique(bins)
-    ends = packing.optimal_boundaries(ups, np.array([counts[bins == u].sum() for u in ups]), 6)
-    assert {r.bucket_tokens for r in rows} <= set(ends)
+    assert {r.bucket_tokens for r in rows} <= set(packing.optimal_boundaries(lengths, counts, 6))
     assert len(check_packed(packing.pack(edge_docs, token_budget=100).collect(), 100)) >= 1
     assert packing.pack(edge_docs).count() == 16
     assert packing.pack(edge_docs, length=F.lit(None).cast("long")).count() == 16
     assert packing.pack(no_docs).count() == 0
 
 
+def test_packing_counts_tokens(spark, sf_dir, small_docs, library):
+    rows = op4_packing(spark, sf_dir).collect()
+    check_packed(rows, packing.TOKEN_BUDGET)
+    assert {r.doc_id: r.n_tokens for r in rows} == {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in small_docs.collect()}
+    lengths, counts = np.unique([r.n_tokens for r in rows], return_counts=True)
+    assert {r.bucket_tokens for r in rows} <= set(packing.optimal_boundaries(lengths, counts, packing.BUCKETS))
+
+
+def test_rows_without_an_id_are_spread(spark):
+    docs = spark.range(4000).selectExpr("cast(null as long) as doc_id", "if(id % 2 = 0, 'same text', concat('text ', id)) as text").repartition(3)
+    check_packed(packing.pack(docs, token_budget=64, vocabulary=word_vocabulary()).collect(), 64)
+    files = sequences.write_sequences(docs, word_vocabulary(), END_ID, partitions=4)
+    assert len(files) == 4 and max(n for *_, n in files) < 2500 and sum(n for *_, n in files) == 4000
+    out = sorted((r.start, r.n_tokens) for r in sequences.read_documents(spark, files).collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(out, out[1:], strict=False))
+
+
+def test_every_code_point_as_the_library(library):
+    encoders = [wordbpe.WordEncoder(wordbpe.WordVocabulary(word_vocabulary())), wordbpe.encoder(word_vocabulary(), library=True)]
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    rng = np.random.default_rng(5)
+    texts = [f"a{c}b1 {c}{c}'s{c} x" for c in points] + ["".join(rng.choice(points[:600], 12)) for _ in range(3000)] + ["".join(rng.choice(points, 9)) for _ in range(3000)]
+    texts += ["e\u0301 \u0301x \x1c\x85\u2028y ΟΔΟΣ Σ. İI <|endoftext|>\u0301 <|ENDOFTEXT|> a<|startoftext|>b"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for enc in encoders:
+        for lo in range(0, len(texts), 5000):
+            part = texts[lo : lo + 5000]
+            ids, counts = enc.encode(part)
+            assert enc.count(part).tolist() == counts.tolist()
+            ends = np.cumsum(counts)
+            wrong = [t for t, a, b, w in zip(part, ends - counts, ends, want[lo : lo + 5000], strict=True) if ids[a:b].tolist() != w]
+            assert not wrong, wrong[:5]
+
+
 def test_one_long_text_does_not_coarsen_the_buckets(spark):
     from pyspark.sql import functions as F
 
