@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a fixed random vector of +1/-1. A trigram is *bound* by multiplying the vectors of its
+Every letter of any script, lower case, has its own random vector of +1/-1, drawn with its code point as seed. A trigram is *bound* by multiplying the vectors of its
 letters, each permuted (rotated) by its place; a text is the *bundle* (sum) of its trigrams and a language
 the bundle of its training texts. A text goes to the language whose prototype has the largest cosine.
 
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from .common import chunks, only
 
 DIM = 512
-SLOTS = 64  # 0: word break, 1-26: a-z, the others share the rest
 SEED = 20240229
 #: Trigrams bound at once; bounds the memory of a batch.
 BLOCK = 4096
@@ -29,47 +28,68 @@ UNDETERMINED = "und"
 _state: dict = {}
 
 
-def _tables(dim: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Code point -> letter slot, and the letter vectors rotated by 2, 1 and 0."""
-    if dim not in _state:
-        slots = np.zeros(0x110000, np.uint8)
+def _folded() -> np.ndarray:
+    """Code point -> the code point of its lower-case letter, 0 where it is no letter."""
+    if "folded" not in _state:
+        table = np.zeros(0x110000, np.int32)
         for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
-                low = ord(c.lower()[0])
-                slots[cp] = low - 96 if 97 <= low <= 122 else 27 + low % (SLOTS - 27)
-        letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SLOTS, dim))
-        _state[dim] = slots, [np.roll(letters, k, axis=1) for k in (2, 1, 0)]
-    return _state[dim]
+                table[cp] = ord(c.lower()[0])
+        _state["folded"] = table
+    return _state["folded"]
 
 
-def _trigrams(texts: list[str | None], slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram codes around each letter, and the text each belongs to."""
+def letter_vector(code_point: int, dim: int) -> np.ndarray:
+    """The +1/-1 vector of a letter, from its code point as seed; 0 stands for a word break."""
+    known = _state.setdefault(("letters", dim), {})
+    if code_point not in known:
+        known[code_point] = np.random.default_rng([SEED, code_point]).integers(0, 2, dim, dtype=np.int8) * np.int8(2) - np.int8(1)
+    return known[code_point]
+
+
+def _trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters that occur (the word break first), trigrams of their places around each letter, the text of each trigram."""
     parts = ["\n" + (t or "") for t in texts]
-    code = slots[np.frombuffer(("".join(parts) + "\n").encode("utf-32-le"), np.uint32)]
+    code = _folded()[np.frombuffer(("".join(parts) + "\n").encode("utf-32-le"), np.uint32)]
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     owner = np.append(owner, len(parts) - 1)
     stay = np.ones(code.size, bool)
     stay[1:] = (code[1:] != 0) | (code[:-1] != 0)
     # a break between two texts must not vanish: both neighbours of a text's letters are breaks either way
-    code, owner = code[stay].astype(np.int32), owner[stay]
+    code, owner = code[stay], owner[stay]
+    seen = np.zeros(0x110000, bool)
+    seen[code] = True
+    seen[0] = True
+    letters = np.flatnonzero(seen)
+    place = np.zeros(0x110000, np.int64)
+    place[letters] = np.arange(letters.size)
+    code = place[code]
     if code.size < 3:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    tri = (code[:-2] * SLOTS + code[1:-1]) * SLOTS + code[2:]
+        return letters, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tri = (code[:-2] * letters.size + code[1:-1]) * letters.size + code[2:]
     middle = code[1:-1] != 0
-    return tri[middle], owner[1:-1][middle]
+    return letters, tri[middle], owner[1:-1][middle]
 
 
-def _bundle(tri: np.ndarray, owner: np.ndarray, n: int, dim: int, rotated: list[np.ndarray]) -> np.ndarray:
+def _bundle(letters: np.ndarray, tri: np.ndarray, owner: np.ndarray, n: int, dim: int) -> np.ndarray:
     """One vector per owner: the sum of its bound trigrams."""
     out = np.zeros((n, dim), np.float32)
-    present = np.flatnonzero(np.bincount(tri, minlength=SLOTS**3))
-    place = np.zeros(SLOTS**3, np.int32)
-    place[present] = np.arange(present.size)
-    at = place[tri]
+    if not tri.size:
+        return out
+    base = np.stack([letter_vector(c, dim) for c in letters.tolist()])
+    rotated = [np.roll(base, k, axis=1) for k in (2, 1, 0)]
+    size = letters.size
+    if size**3 <= 1 << 21:
+        present = np.flatnonzero(np.bincount(tri, minlength=size**3))
+        place = np.zeros(size**3, np.int64)
+        place[present] = np.arange(present.size)
+        at = place[tri]
+    else:
+        present, at = np.unique(tri, return_inverse=True)
     for lo in range(0, present.size, BLOCK):
         own = present[lo : lo + BLOCK]
-        bound = rotated[0][own // SLOTS**2] * rotated[1][own // SLOTS % SLOTS] * rotated[2][own % SLOTS]
+        bound = rotated[0][own // size**2] * rotated[1][own // size % size] * rotated[2][own % size]
         here = (at >= lo) & (at < lo + BLOCK) if present.size > BLOCK else slice(None)
         counts = np.bincount(owner[here] * own.size + (at[here] - lo), minlength=n * own.size)
         out += counts.reshape(n, own.size).astype(np.float32) @ bound.astype(np.float32)
@@ -83,15 +103,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, rotated = _tables(dim)
         sums: dict[str, np.ndarray] = {}
         for batch in chunks(batches, 2 << 20):
             langs = batch.column(1).to_pylist()
             names = sorted(set(langs))
             index = {k: i for i, k in enumerate(names)}
-            tri, owner = _trigrams(batch.column(0).to_pylist(), slots)
+            letters, tri, owner = _trigrams(batch.column(0).to_pylist())
             of = np.array([index[k] for k in langs], np.int64)
-            for k, v in zip(names, _bundle(tri, of[owner], len(names), dim, rotated), strict=True):
+            for k, v in zip(names, _bundle(letters, tri, of[owner], len(names), dim), strict=True):
                 sums[k] = sums.get(k, 0) + v.astype(np.float64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "sums"]
@@ -118,14 +137,13 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str =
     unit = (unit / np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-30)).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, rotated = _tables(dim)
         for batch in chunks(batches, 2 << 20):
             n = batch.num_rows
-            tri, owner = _trigrams(batch.column(1).to_pylist(), slots)
+            letters, tri, owner = _trigrams(batch.column(1).to_pylist())
             lettered = np.bincount(owner, minlength=n) > 0
             pred, score = [UNDETERMINED] * n, np.zeros(n)
             if names and tri.size:
-                vectors = _bundle(tri, owner, n, dim, rotated)
+                vectors = _bundle(letters, tri, owner, n, dim)
                 cosine = vectors @ unit.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
                 top = cosine.argmax(axis=1)
                 score = np.where(lettered, np.clip(cosine[np.arange(n), top], 0, 1), 0).astype(np.float64)

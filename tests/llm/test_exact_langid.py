@@ -71,3 +71,48 @@ def test_prediction_does_not_depend_on_the_batch(small_docs):
     one = {r.doc_id: (r.lang_pred, round(r.score, 5)) for r in langid.identify(small_docs.coalesce(1), prototypes).collect()}
     many = {r.doc_id: (r.lang_pred, round(r.score, 5)) for r in langid.identify(small_docs.repartition(7), prototypes).collect()}
     assert one == many
+
+
+def test_many_rows_of_one_id_and_text(spark):
+    docs = spark.range(12000).selectExpr("if(id % 3 = 0, null, 7L) as doc_id", "if(id % 3 = 1, concat('t', id % 50), 'same') as text").repartition(5)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert got(exact.exact_dedup(docs, memtable_rows=64)) == brute(rows, "max")
+    assert got(exact.exact_dedup(docs, memtable_rows=500, digest_bytes=1)) == brute(rows, "max")
+
+
+def plain_profile(text):
+    """Bundle of bound trigrams, letter by letter."""
+    import numpy as np
+
+    letters = [ord(c.lower()[0]) if c.isalpha() else 0 for c in "\n" + text + "\n"]
+    folded = [c for i, c in enumerate(letters) if c or not i or letters[i - 1]]
+    blank = langid.letter_vector(0, langid.DIM)
+    total = np.zeros(langid.DIM)
+    for a, b, c in zip(folded, folded[1:], folded[2:], strict=False):
+        if b:
+            bound = [np.roll(langid.letter_vector(x, langid.DIM) if x else blank, k).astype(float) for x, k in ((a, 2), (b, 1), (c, 0))]
+            total += bound[0] * bound[1] * bound[2]
+    return total
+
+
+def test_against_plain_python(spark):
+    import numpy as np
+
+    texts = [("el", "καλημέρα κόσμε πώς είσαι σήμερα"), ("ru", "доброе утро как у вас дела"), ("zh", "今天天气很好 我们去公园"), ("en", "good morning how are you today"), ("el", "ευχαριστώ πολύ φίλε μου"), ("ru", "большое спасибо мой друг"), ("zh", "谢谢你 我的朋友"), ("en", "thank you very much my friend")]
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    prototypes = langid.train(docs)
+    want = {k: sum(plain_profile(t) for q, t in texts if q == k) for k, _ in texts}
+    assert {k: np.array(v).tolist() for k, v in prototypes.items()} == {k: v.tolist() for k, v in want.items()}
+    asked = spark.createDataFrame([(1, "σήμερα φίλε"), (2, "мой друг дела"), (3, "我们的朋友"), (4, "good friend"), (None, "how much"), (6, "12")], "doc_id long, text string")
+    for r in langid.identify(asked, prototypes, keep=[F.col("text").alias("own")]).collect():
+        v = plain_profile(r.own)
+        cosines = {k: float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)) if v.any() else 0.0 for k, w in want.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert r.lang_pred == (best if v.any() else "und") and abs(r.score - max(0.0, cosines[best])) < 1e-4
+    assert [r.lang_pred for r in langid.identify(asked, prototypes).orderBy("doc_id").collect()] == ["en", "el", "ru", "zh", "en", "und"]
+
+
+def test_rows_without_an_id_are_not_held_out(spark, tmp_path):
+    spark.createDataFrame([(None, "good morning to you all", "en"), (3, "guten Morgen euch allen", "de"), (None, None, None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = op1_language_id(spark, str(tmp_path)).collect()
+    assert all(r.held_out is False for r in out if r.doc_id is None) and {r.lang_pred for r in out if r.doc_id is None} == {"en", "und"}
