@@ -2,10 +2,12 @@
 
 Every window of ``length`` bytes has a key: the smallest hash of the 24-byte strings in it. Equal windows have equal
 keys, so only windows whose key occurs in two documents can repeat; the exchange of ``segments`` finds these keys.
-Runs of windows with such a key go, as short snippets, to the key's bucket. There a suffix array of all snippets is
+Runs of windows with such a key go, as short snippets, to the key's bucket. There suffix arrays of the snippets are
 built: the suffixes smaller than their successors are sorted directly, the others are induced from them by scans
 over the buckets of first bytes. Adjacent suffixes with a common prefix of ``length`` bytes or more repeat each
-other, and what starts in a document with a smaller id is removed.
+other, and what starts in a document with a smaller id is removed. Every removal comes from such an array. Hashes only
+choose what is compared: snippets with equal hashes are compared byte by byte, and of equal ones two, of the two
+smallest documents, go through the array and stand for the others.
 
 Scale: per input byte about 0.07 keys of six bytes are shuffled, and the snippets of what may repeat. A passage that a
 third of all documents share is one snippet per segment, the one of the segment's smallest document; its other
@@ -30,6 +32,8 @@ SLICE = 1 << 20
 RUN = 64
 #: Text of a segment, which a task holds with the snippets cut from it.
 SEGMENT = 16 << 20
+#: Bytes of snippets in one suffix array, roughly (a key's snippets stay together), and compared at once.
+CUT = 2 << 20
 #: Suffix arrays built one after another in a partition; bounds what is sorted at once.
 PARTS = 16
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -317,22 +321,93 @@ def _answer(seg: int, ranges: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([ranges], pa.binary())], names=["seg", "block"])
 
 
-def _first_of_equals(key: np.ndarray, size: np.ndarray, content: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each snippet the smallest document that holds an equal one, and the number of its group of equals."""
-    order = np.lexsort((doc, size, content, key))
-    k, c, s = key[order], content[order], size[order]
-    new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (s[1:] != s[:-1])]
-    least, group = np.empty_like(doc), np.empty(doc.size, np.int64)
-    least[order] = doc[order][np.maximum.accumulate(np.where(new, np.arange(order.size), 0))]
-    group[order] = np.cumsum(new) - 1
-    return least, group
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether ``data[a : a + n]`` and ``data[b : b + n]`` are equal, for each entry (``n`` above 0)."""
+    same = np.ones(a.size, bool)
+    step = max(1, CUT // max(1, int(n.max()))) if n.size else 1
+    for lo in range(0, a.size, step):
+        x, y, m = a[lo : lo + step], b[lo : lo + step], n[lo : lo + step]
+        first = np.cumsum(m) - m
+        within = np.arange(int(m.sum()))
+        equal = data[np.repeat(x - first, m) + within] == data[np.repeat(y - first, m) + within]
+        same[lo : lo + step] = np.logical_and.reduceat(equal, first)
+    return same
+
+
+class _Groups:
+    """Equal snippets of one key, found by a hash and told apart by their bytes.
+
+    Of each group two snippets stand for all: the first of the smallest document (``leader``) and the first of the next
+    (``second``, -1 where there is none). What a suffix array shows of these holds for the others.
+    """
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray):
+        order = np.lexsort((doc, size, _content(data, start, size), key))
+        k, s, at, d = key[order], size[order], start[order], doc[order]
+        new = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]
+        maybe = np.flatnonzero(~new)
+        new[maybe] = ~_same_bytes(data, at[maybe - 1], at[maybe], s[maybe])
+        first = np.flatnonzero(new)
+        number = np.cumsum(new) - 1
+        self.leader = order[first]
+        later = np.flatnonzero(d != d[first][number])
+        self.second = np.full(first.size, -1, np.int64)
+        at_group, at_first = np.unique(number[later], return_index=True)
+        self.second[at_group] = order[later[at_first]]
+        self.of = np.empty(doc.size, np.int64)
+        self.of[order] = number
+        #: Whether a snippet repeats one of a smaller document as a whole.
+        self.repeats = np.zeros(doc.size, bool)
+        self.repeats[order[later]] = True
+
+
+def _shown(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray, groups: _Groups, length: int, only_repeated: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Repeated ranges by suffix arrays: (snippet, from, to) inside each snippet of each group.
+
+    The arrays hold each group's two snippets and are built for whole keys at a time. With ``only_repeated``, groups
+    with a second snippet only.
+    """
+    have = groups.second >= 0
+    entry = np.r_[groups.leader[have] if only_repeated else groups.leader, groups.second[have]]
+    nothing = np.zeros(0, np.int64)
+    if not entry.size:
+        return nothing, nothing, nothing
+    entry = entry[np.argsort(key[entry], kind="stable")]
+    k = key[entry]
+    head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    upto = np.cumsum(size[entry])
+    before = upto[head] - size[entry][head]
+    cuts = [*head[np.r_[True, np.diff(before // CUT) > 0]].tolist(), entry.size]
+    found = []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        own = entry[lo:hi]
+        n = size[own]
+        ends = np.cumsum(n)
+        gather = np.repeat(start[own] - (ends - n), n) + np.arange(int(ends[-1]))
+        flagged = repeated_windows(data[gather], ends, doc[own], length)
+        # windows never cross snippets, so runs of flagged places do not either
+        step = np.diff(np.r_[False, flagged, False].astype(np.int8))
+        a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        of = np.searchsorted(ends, a, side="right")
+        first = (ends - n)[of]
+        found.append((own[of], a - first, b - first + length - 1))
+    shown, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+    # from the two that stand for a group to all of it
+    place = np.argsort(shown, kind="stable")
+    shown, lo, hi = shown[place], lo[place], hi[place]
+    stands = np.where(groups.repeats, groups.second[groups.of], groups.leader[groups.of])
+    a, b = np.searchsorted(shown, stands, "left"), np.searchsorted(shown, stands, "right")
+    n = b - a
+    who = np.repeat(np.arange(doc.size), n)
+    at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return who, lo[at], hi[at]
 
 
 _META = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("at", "<i4")])
 
 
 def _matched(held: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
-    """What a bucket's snippets show: equal ones repeat the smallest document's, the rest is compared by a suffix array."""
+    """What a bucket's snippets show, by segment."""
     if not held:
         return
     meta = np.concatenate([np.frombuffer(m, _META) for _, m, _, _ in held])
@@ -343,29 +418,8 @@ def _matched(held: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
     start = ends - size
     key, doc, row, place = (meta[n] for n in ("key", "doc", "row", "at"))
     doc, row, place = doc.astype(np.int64), row.astype(np.int64), place.astype(np.int64)
-    least, group = _first_of_equals(key, size, _content(data, start, size), doc)
-    repeats = np.flatnonzero(doc > least)
-    segs, rows, los, his = [seg[repeats]], [row[repeats]], [place[repeats]], [(place + size)[repeats]]
-    # keys with snippets that differ; of equal ones those of the smallest document stay
-    stay = np.flatnonzero(doc == least)
-    order = stay[np.lexsort((group[stay], key[stay]))]
-    k, g = key[order], group[order]
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    last = np.r_[first[1:] - 1, k.size - 1]
-    differ = np.repeat(g[first] != g[last], last - first + 1)
-    own = order[differ]
-    if own.size:
-        n = size[own]
-        cut = np.cumsum(n)
-        gather = np.repeat(start[own] - (cut - n), n) + np.arange(int(cut[-1]))
-        at = np.flatnonzero(repeated_windows(data[gather], cut, doc[own], length))
-        of = np.searchsorted(cut, at, side="right")
-        lo = at - (cut - n)[of] + place[own][of]
-        segs.append(seg[own][of])
-        rows.append(row[own][of])
-        los.append(lo)
-        his.append(lo + length)
-    seg, row, lo, hi = (np.concatenate(x) for x in (segs, rows, los, his))
+    who, lo, hi = _shown(data, start, size, key, doc, _Groups(data, start, size, key, doc), length, False)
+    seg, row, lo, hi = seg[who], row[who], place[who] + lo, place[who] + hi
     order = np.argsort(seg, kind="stable")
     seg, row, lo, hi = seg[order], row[order], lo[order], hi[order]
     for s in np.unique(seg).tolist():
@@ -408,13 +462,13 @@ def _candidates(seg: int, path: str, elsewhere: np.ndarray, length: int, buckets
     if not yes.size:
         return
     key, doc, row, at, place, size = (x[yes] for x in (key, doc, row, at, place, size))
-    # of equal snippets those of the smallest document go on; the others repeat it
-    least, _ = _first_of_equals(key, size, _content(data, place, size), doc)
-    repeats = doc > least
-    if repeats.any():
-        ranges = _pack_ranges(*_merge(row[repeats], at[repeats], at[repeats] + size[repeats]))
+    # what equal snippets of this segment show is known here; those of the smallest document go on
+    groups = _Groups(data, place, size, key, doc)
+    who, lo, hi = _shown(data, place, size, key, doc, groups, length, True)
+    if who.size:
+        ranges = _pack_ranges(*_merge(row[who], at[who] + lo, at[who] + hi))
         yield pa.RecordBatch.from_arrays([pa.array([seg % buckets], pa.int32()), pa.array([seg], pa.int32()), pa.array([ranges], pa.binary()), *(pa.nulls(1, pa.binary()),) * 3], names=names)
-    go = np.flatnonzero(~repeats)
+    go = np.flatnonzero(~groups.repeats)
     to = (_mixed(key[go]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     go, to = go[order], to[order]

@@ -81,3 +81,31 @@ def test_window_keys_depend_on_the_window_alone():
 def test_kept_bytes_hash(edge_docs):
     for r in suffixes.remove_repeats(edge_docs).collect():
         assert len(hashlib.sha256(r.kept).hexdigest()) == 64
+
+
+def test_snippets_are_told_apart_by_bytes(monkeypatch):
+    """A hash that is the same for all snippets changes nothing. (Both keys are in one array, so they do not matter here.)"""
+    import numpy as np
+
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abc") for _ in range(60)) for _ in range(4)]
+    snippets = [(rng.choice(base) if rng.random() < 0.7 else rng.choice(base)[:55] + "xyzzy", rng.randrange(9), rng.randrange(2)) for _ in range(200)]
+    data = np.frombuffer("".join(s for s, _, _ in snippets).encode(), np.uint8)
+    size = np.full(len(snippets), 60)
+    start, doc, key = np.arange(len(snippets)) * 60, np.array([d for _, d, _ in snippets]), np.array([k for *_, k in snippets], np.uint64)
+
+    def covered():
+        who, lo, hi = suffixes._shown(data, start, size, key, doc, suffixes._Groups(data, start, size, key, doc), 50, False)
+        out = np.zeros((len(snippets), 60), bool)
+        for w, a, b in zip(who, lo, hi, strict=True):
+            out[w, a:b] = True
+        return out
+
+    want = np.zeros((len(snippets), 60), bool)
+    for i, (s, d, _) in enumerate(snippets):
+        for p in range(11):
+            if any(s[p : p + 50] in t for t, e, _ in snippets if e < d):
+                want[i, p : p + 50] = True
+    assert (covered() == want).all()
+    monkeypatch.setattr(suffixes, "_content", lambda data, at, n: np.zeros(at.size, np.uint64))
+    assert (covered() == want).all()
