@@ -6,8 +6,8 @@ Runs of windows with such a key go, as short snippets, to the key's bucket. Ther
 built: the suffixes smaller than their successors are sorted directly, the others are induced from them by scans
 over the buckets of first bytes. Adjacent suffixes with a common prefix of ``length`` bytes or more repeat each
 other, and what starts in a document with a smaller id is removed. Every removal comes from such an array. Hashes only
-choose what is compared: snippets with equal hashes are compared byte by byte, and of equal ones two, of the two
-smallest documents, go through the array and stand for the others.
+choose what is compared: snippets with equal hashes are compared byte by byte, and of equal ones one, of the smallest
+document, goes through the array for all: the smallest document found there beside its windows decides for each.
 
 Scale: per input byte about 0.07 keys of six bytes are shuffled, and the snippets of what may repeat. A passage that a
 third of all documents share is one snippet per segment, the one of the segment's smallest document; its other
@@ -36,6 +36,8 @@ SEGMENT = 16 << 20
 CUT = 2 << 20
 #: Suffix arrays built one after another in a partition; bounds what is sorted at once.
 PARTS = 16
+#: The first bytes of a big-endian number.
+_TOP = np.array([0, *((1 << 64) - (1 << 64 - 8 * k) for k in range(1, 8))], np.uint64)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -128,7 +130,7 @@ def segment_keys(length: int):
 def two_stage_suffixes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The suffix array of short texts held one after another; a suffix ends with its text, equal ones in any order.
 
-    Suffixes smaller than their successors are sorted directly, by eight bytes at a time; each of the others stands
+    Suffixes smaller than their successors are sorted directly, by seven bytes at a time; each of the others stands
     in the bucket of its first byte in the order of its successor, and the buckets are scanned upwards.
     """
     n = data.size
@@ -137,53 +139,64 @@ def two_stage_suffixes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     last = np.zeros(n, bool)
     last[ends[np.diff(np.r_[0, ends]) > 0] - 1] = True
     # smaller than its successor: the next different byte of the text is larger; at the end of the text nothing follows, which is smaller
-    differs = np.r_[data[:-1] != data[1:], True] | last
-    where = np.flatnonzero(differs)
-    decisive = where[np.searchsorted(where, np.arange(n))]
-    rises = ~last[decisive] & (data[decisive] < data[np.minimum(decisive + 1, n - 1)])
-    text_end = np.repeat(ends, np.diff(np.r_[0, ends]))
-
-    direct = np.flatnonzero(rises)
+    nearest = np.full(n, n - 1, np.int32)
+    turns = np.flatnonzero(np.r_[data[:-1] != data[1:], True] | last).astype(np.int32)
+    nearest[turns] = turns
+    nearest = np.minimum.accumulate(nearest[::-1])[::-1]
+    rises = (np.r_[data[:-1] < data[1:], False] & ~last)[nearest]
+    direct = np.flatnonzero(rises).astype(np.int32)
+    text_end = np.repeat(ends.astype(np.int32), np.diff(np.r_[0, ends]))
     words = _words(data)
-    # order and ranks by eight bytes at a time; only suffixes still equal are compared further
+    # order and groups by seven bytes and how many of them there are, packed in one number; only what is still equal is compared further
+    def packed(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        have = np.clip(left, 0, 7)
+        return words[np.minimum(at, n - 1)] & _TOP.take(have) | have.astype(np.uint64)
+
+    value = packed(direct, text_end[direct] - direct)
+    order = np.argsort(value)
+    tied, value, offset = np.arange(direct.size), value[order], 7
     group = np.zeros(direct.size, np.int64)
-    order = np.arange(direct.size)
-    tied = np.arange(direct.size)
-    offset = 0
-    while tied.size > 1:
-        at = direct[order[tied]] + offset
-        left = text_end[direct[order[tied]]] - at
-        value = np.where(left > 0, words[np.minimum(at, n - 1)], np.uint64(0))
-        value = np.where((left > 0) & (left < 8), value >> (np.uint64(8) * (8 - np.clip(left, 0, 8)).astype(np.uint64)) << (np.uint64(8) * (8 - np.clip(left, 0, 8)).astype(np.uint64)), value)
-        stay = np.clip(left, 0, 8)
-        by = np.lexsort((stay, value, group[tied]))
-        order[tied] = order[tied][by]
-        value, stay, g = value[by], stay[by], group[tied]
-        new = np.r_[True, (g[1:] != g[:-1]) | (value[1:] != value[:-1]) | (stay[1:] != stay[:-1])]
+    while True:
+        g = group[tied]
+        new = np.r_[True, (g[1:] != g[:-1]) | (value[1:] != value[:-1])]
         group[tied] = tied[np.maximum.accumulate(np.where(new, np.arange(tied.size), 0))]
-        same = np.r_[~new[1:], False] | ~new
-        tied = tied[same & (stay == 8)]
-        offset += 8
+        tied = tied[(np.r_[~new[1:], False] | ~new) & (value & np.uint64(0xFF) == 7)]
+        if not tied.size:
+            break
+        at = direct[order[tied]]
+        value = packed(at + np.int32(offset), text_end[at] - at - np.int32(offset))
+        by = np.lexsort((value, group[tied]))
+        order[tied], value = order[tied][by], value[by]
+        offset += 7
     direct = direct[order]
 
     # buckets by first byte: first the induced suffixes, then the direct ones
     first_direct = data[direct]
-    induced_count = np.bincount(data[~rises], minlength=256)
     direct_cut = np.searchsorted(first_direct, np.arange(257))
     out: list[np.ndarray] = []
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     # texts end in a suffix whose successor is empty, the smallest: they come first in their buckets
-    finals = np.flatnonzero(last & ~rises)
+    finals = np.flatnonzero(last & ~rises).astype(np.int32)
     for c in np.unique(data[finals]).tolist():
         waiting[c].append(finals[data[finals] == c])
 
-    def induce(sorted_: np.ndarray, c: int) -> None:
-        before = sorted_ - 1
-        ok = (before >= 0) & ~last[np.maximum(before, 0)]
-        before = before[ok]
-        before = before[~rises[before]]
+    induced = ~rises & ~last  # these follow from their successors
+
+    def induce(sorted_: np.ndarray) -> None:
+        before = sorted_ - 1  # -1 is the last place, which ends a text
+        before = before[induced[before]]
+        if not before.size:
+            return
         bytes_ = data[before]
-        for b in np.unique(bytes_).tolist():
+        if before.size > 64:
+            by = np.argsort(bytes_, kind="stable")
+            before, counts = before[by], np.bincount(bytes_, minlength=256)
+            at = 0
+            for b in np.flatnonzero(counts).tolist():
+                waiting[b].append(before[at : at + int(counts[b])])
+                at += int(counts[b])
+            return
+        for b in set(bytes_.tolist()):
             waiting[b].append(before[bytes_ == b])
 
     for c in range(256):
@@ -191,33 +204,30 @@ def two_stage_suffixes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
             part = np.concatenate(waiting[c])
             waiting[c] = []
             out.append(part)
-            induced_count[c] -= part.size
-            induce(part, c)
+            induce(part)
         part = direct[direct_cut[c] : direct_cut[c + 1]]
         out.append(part)
-        induce(part, c)
+        induce(part)
     return np.concatenate(out)
 
 
-def repeated_windows(data: np.ndarray, ends: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
-    """Whether the window at each place also starts in a text of a smaller owner; False where no window starts."""
+def smallest_owners(data: np.ndarray, ends: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """The smallest owner of a text that holds the window at each place; the largest number where no window starts."""
     sa = two_stage_suffixes(data, ends)
     sizes = np.diff(np.r_[0, ends])
     room = np.repeat(ends, sizes) - np.arange(data.size) >= length
     sa = sa[room[sa]]
-    flagged = np.zeros(data.size, bool)
-    if not sa.size:
-        return flagged
-    words = _words(data)
-    equal = np.ones(sa.size - 1, bool)
-    for k in [*range(0, length - 7, 8), length - 8]:
-        w = words[sa + k]
-        equal &= w[1:] == w[:-1]
-    first = np.flatnonzero(np.r_[True, ~equal])
-    owners = np.repeat(owner, sizes)[sa]
-    least = np.minimum.reduceat(owners, first)
-    flagged[sa] = np.repeat(least, np.diff(np.r_[first, sa.size])) < owners
-    return flagged
+    smallest = np.full(data.size, np.iinfo(np.int64).max)
+    if sa.size:
+        words = _words(data)
+        equal = np.ones(sa.size - 1, bool)
+        for k in [*range(0, length - 7, 8), length - 8]:
+            w = words[sa + k]
+            equal &= w[1:] == w[:-1]
+        first = np.flatnonzero(np.r_[True, ~equal])
+        owners = np.repeat(owner, sizes)[sa]
+        smallest[sa] = np.repeat(np.minimum.reduceat(owners, first), np.diff(np.r_[first, sa.size]))
+    return smallest
 
 
 def _pack_ranges(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
@@ -335,11 +345,7 @@ def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -
 
 
 class _Groups:
-    """Equal snippets of one key, found by a hash and told apart by their bytes.
-
-    Of each group two snippets stand for all: the first of the smallest document (``leader``) and the first of the next
-    (``second``, -1 where there is none). What a suffix array shows of these holds for the others.
-    """
+    """Equal snippets of one key, found by a hash and told apart by their bytes; one of the smallest document leads."""
 
     def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray):
         order = np.lexsort((doc, size, _content(data, start, size), key))
@@ -348,55 +354,53 @@ class _Groups:
         maybe = np.flatnonzero(~new)
         new[maybe] = ~_same_bytes(data, at[maybe - 1], at[maybe], s[maybe])
         first = np.flatnonzero(new)
-        number = np.cumsum(new) - 1
         self.leader = order[first]
-        later = np.flatnonzero(d != d[first][number])
-        self.second = np.full(first.size, -1, np.int64)
-        at_group, at_first = np.unique(number[later], return_index=True)
-        self.second[at_group] = order[later[at_first]]
+        #: A snippet's group, and the largest document of each group.
         self.of = np.empty(doc.size, np.int64)
-        self.of[order] = number
-        #: Whether a snippet repeats one of a smaller document as a whole.
-        self.repeats = np.zeros(doc.size, bool)
-        self.repeats[order[later]] = True
+        self.of[order] = np.cumsum(new) - 1
+        self.largest = d[np.r_[first[1:] - 1, d.size - 1]]
+        #: Whether a snippet equals one of a smaller document.
+        self.repeats = doc > doc[self.leader][self.of]
 
 
 def _shown(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray, groups: _Groups, length: int, only_repeated: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Repeated ranges by suffix arrays: (snippet, from, to) inside each snippet of each group.
 
-    The arrays hold each group's two snippets and are built for whole keys at a time. With ``only_repeated``, groups
-    with a second snippet only.
+    The arrays hold one snippet for each group and are built for whole keys at a time: what equals a window is next to it,
+    in its own group or in another. With ``only_repeated``, groups of several documents only.
     """
-    have = groups.second >= 0
-    entry = np.r_[groups.leader[have] if only_repeated else groups.leader, groups.second[have]]
+    several = groups.largest > doc[groups.leader]
+    group = np.flatnonzero(several) if only_repeated else np.arange(groups.leader.size)
     nothing = np.zeros(0, np.int64)
-    if not entry.size:
+    if not group.size:
         return nothing, nothing, nothing
-    entry = entry[np.argsort(key[entry], kind="stable")]
-    k = key[entry]
+    entry = groups.leader[group]  # by key, as groups are
+    k, n = key[entry], size[entry]
     head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    upto = np.cumsum(size[entry])
-    before = upto[head] - size[entry][head]
+    before = (np.cumsum(n) - n)[head]
     cuts = [*head[np.r_[True, np.diff(before // CUT) > 0]].tolist(), entry.size]
     found = []
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        own = entry[lo:hi]
-        n = size[own]
-        ends = np.cumsum(n)
-        gather = np.repeat(start[own] - (ends - n), n) + np.arange(int(ends[-1]))
-        flagged = repeated_windows(data[gather], ends, doc[own], length)
-        # windows never cross snippets, so runs of flagged places do not either
-        step = np.diff(np.r_[False, flagged, False].astype(np.int8))
-        a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        of = np.searchsorted(ends, a, side="right")
-        first = (ends - n)[of]
-        found.append((own[of], a - first, b - first + length - 1))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own, m = entry[a:b], n[a:b]
+        ends = np.cumsum(m)
+        gather = np.repeat(start[own] - (ends - m), m) + np.arange(int(ends[-1]))
+        smallest = smallest_owners(data[gather], ends, doc[own], length)
+        for follows in (False, True):  # for the smallest document's snippets, and for those of the others
+            flagged = smallest <= np.repeat(doc[own], m) if follows else smallest < np.repeat(doc[own], m)
+            if follows:
+                flagged &= np.repeat(several[group[a:b]], m)
+            # windows never cross snippets, so runs of flagged places do not either
+            step = np.diff(np.r_[False, flagged, False].astype(np.int8))
+            lo, hi = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+            of = np.searchsorted(ends, lo, side="right")
+            first = (ends - m)[of]
+            found.append((2 * group[a:b][of] + follows, lo - first, hi - first + length - 1))
     shown, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
-    # from the two that stand for a group to all of it
+    # from a group to its snippets
     place = np.argsort(shown, kind="stable")
     shown, lo, hi = shown[place], lo[place], hi[place]
-    stands = np.where(groups.repeats, groups.second[groups.of], groups.leader[groups.of])
-    a, b = np.searchsorted(shown, stands, "left"), np.searchsorted(shown, stands, "right")
+    asked = 2 * groups.of + groups.repeats
+    a, b = np.searchsorted(shown, asked, "left"), np.searchsorted(shown, asked, "right")
     n = b - a
     who = np.repeat(np.arange(doc.size), n)
     at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
