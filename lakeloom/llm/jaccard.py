@@ -1,48 +1,54 @@
 """Jaccard join of word n-grams, as a grouped prefix join.
 
-A document is the set of its distinct word n-grams (hashed to 64 bits). Sets are ordered by rarity; two sets of a Jaccard
-similarity of at least t share one of the first ``n - ceil(t n) + 1`` elements, the *prefix*. Equal sets are one *class*;
-classes with the same prefix and size are collapsed into one *group*. Groups that share a prefix element and whose sizes
-allow the similarity are connected, and what is connected comes together in one place: there pairs of groups are
-filtered by size and shared prefix elements, the groups that remain are expanded and their members verified exactly.
+A document is the set of its distinct word n-grams, held as 64-bit hashes. Sets are ordered by rarity; two sets of a Jaccard
+similarity of at least t share one of the first ``n - ceil(t n) + 1`` elements, the *prefix*. Documents with equal
+words in a segment are one *class*; classes with the same prefix and size are collapsed into one *group*. Classes whose
+prefixes share an element and whose sizes allow the similarity meet in a *pool*: there pairs of groups are filtered by size
+and shared prefix elements, the groups that remain are expanded and their members verified on their words.
 
 Rarity: how many classes hold an element is counted over all documents by the exchange of ``segments``, for a fixed
 share of the hash range that comes first in the order (an order is all that the prefix needs). A class whose prefix
 no other class shares leaves the join there.
 
-Scale: no pair of documents is ever sent anywhere. Equal sets are one entry per segment; an element that many
-classes share is one entry per segment and size level; connecting neighbours in order of size replaces emitting
-the pairs of a list. Connected classes beyond a block's size are verified block against block.
+Hashes never decide: words have keyed hashes, each document's distinct hashes are checked to stand for distinct n-grams (else
+all starts anew with another key, so set sizes are exact and no link can be missed), and what is linked is compared by words.
+
+Pools: classes with the same smallest prefix element, the *home*, and about the same size form a *chunk* (split by class id
+beyond half a block). The holders of an element and size level meet in the pool of their smallest chunk, the pivot, in blocks
+of bounded size which each hold the whole pivot. So a cluster of near copies meets around one pivot and is joined in
+pools that are linear in its size. Only where blocks of one pivot share an element and are still of different
+components are the holders of that element compared block with block.
+
+Scale: no pair of documents is ever sent anywhere, nor is a component gathered. Texts move once for each pool they are in.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import written
+from .common import flat_gather, written
 from .segments import NO_ID, Segments, fingerprints, gathered, read_segment, shared_keys, unpack_answer
 
 _R = np.uint64(0x9E3779B97F4A7C15)
-_R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_GAP = np.zeros(256, bool)
-_GAP[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Sets verified against each other at once.
+#: Classes of a pool, about, and their n-grams.
 BLOCK = 1024
-#: Component labels up to this many rows are broadcast (16 bytes each); beyond, the sets are shuffled to them.
-BROADCAST_LABELS = 500_000
+BLOCK_ELEMENTS = 1 << 20
+#: Classes of a segment, as a power of two.
+CLASS_BITS = 24
+#: Words that a worker remembers with their hashes.
+MAX_WORDS = 400_000
+#: Labels of classes up to this many rows are broadcast (some 50 bytes each); beyond, the texts are shuffled to them.
+BROADCAST_LABELS = 200_000
 
 
 @dataclass(frozen=True)
@@ -74,49 +80,62 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_powers: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+class Words(dict):
+    """Word -> its number; ``hashes`` holds the keyed hash of each number."""
+
+    def __init__(self, key: int, bits: int):
+        super().__init__()
+        self._key, self._mask = key.to_bytes(8, "little"), (1 << bits) - 1
+        self.hashes = array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.hashes.append(int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self._key).digest(), "little") & self._mask)
+        return number
 
 
-def _power(n: int) -> list[np.ndarray]:
-    if _powers[0].size < n:
-        size = max(n, 1 << 20)
-        for k, base in enumerate((_R, _R_INV)):
-            with np.errstate(over="ignore"):
-                _powers[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, base, np.uint64))])
-    return _powers
+_words: dict[tuple[int, int], Words] = {}
 
 
-def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
-    """The sorted distinct n-gram hashes of each text; ASCII letters count in lower case."""
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    gap = _GAP[data]
-    gap[ends - 1] = True
-    edge = np.flatnonzero(np.diff(np.r_[True, gap]))
-    starts, stops = edge[::2], edge[1::2]
-    power, inverse = _power(data.size + 1)
-    sums = np.r_[np.uint64(0), np.cumsum(_BYTE[_LOWER[data]] * power[: data.size])]
-    word = _mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
-    cut = np.searchsorted(starts, np.r_[0, ends])
+def _known_words(key: tuple[int, int]) -> Words:
+    if key not in _words or len(_words[key]) > MAX_WORDS:
+        _words.clear()
+        _words[key] = Words(*key)
+    return _words[key]
+
+
+def shingles(texts: list[bytes], words: int, key: tuple[int, int] = (0, 64)) -> tuple[list[np.ndarray], list[bytes], bool]:
+    """The sorted distinct n-gram hashes of each text, its words joined by blanks (A-Z in lower case), and whether any text
+    has two n-grams of one hash. ``key`` is that of the words' hashes and their bits."""
+    known = _known_words(key)
+    parts = [t.lower().split() for t in texts]
+    sizes = [len(p) for p in parts]
+    number = np.fromiter((i for p in parts for i in map(known.__getitem__, p)), np.int64, sum(sizes))
+    word = np.array(known.hashes, np.uint64)[number]
     gram = np.full(max(0, word.size - words + 1), words, np.uint64)
     for k in range(words):
         gram = _mix(gram * _R + word[k : k + gram.size])
-    out = []
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if b - a >= words:
-            out.append(np.unique(gram[a : b - words + 1]))
-        elif b > a:
-            one = np.full(1, b - a, np.uint64)
-            for k in range(a, b):
+    out, clash, a = [], False, 0
+    for n in sizes:
+        if n >= words:
+            own = gram[a : a + n - words + 1]
+            order = np.argsort(own)
+            own = own[order]
+            same = own[1:] == own[:-1]
+            if same.any():
+                x, y = order[1:][same] + a, order[:-1][same] + a
+                clash = clash or any((number[x + k] != number[y + k]).any() for k in range(words))
+                own = own[np.r_[True, ~same]]
+            out.append(own)
+        elif n:
+            one = np.full(1, n, np.uint64)
+            for k in range(a, a + n):
                 one = _mix(one * _R + word[k : k + 1])
             out.append(one)
         else:
             out.append(np.zeros(0, np.uint64))
-    return out
-
-
-def _digest(own: np.ndarray) -> bytes:
-    return hashlib.sha256(own.tobytes()).digest()[:16]
+        a += n
+    return out, [b" ".join(p) for p in parts], clash
 
 
 def _first(own: np.ndarray, bits: int) -> np.ndarray:
@@ -124,19 +143,17 @@ def _first(own: np.ndarray, bits: int) -> np.ndarray:
     return own & np.uint64((1 << bits) - 1) == 0
 
 
-def _class_keys(rule: Rule):
+def _class_keys(rule: Rule, key: tuple[int, int]):
     """The elements, from the share that is counted, of a segment's classes and how many classes hold each."""
 
     def keys(path: str) -> tuple[np.ndarray, np.ndarray]:
         seen: set[bytes] = set()
         found = [np.zeros(0, np.uint64)]
         for _, texts in read_segment(path):
-            for own in shingles(texts, rule.words):
-                if own.size:
-                    d = _digest(own)
-                    if d not in seen:
-                        seen.add(d)
-                        found.append(fingerprints(own[_first(own, rule.share_bits)]))
+            for own, plain in zip(*shingles(texts, rule.words, key)[:2], strict=True):
+                if own.size and plain not in seen:
+                    seen.add(plain)
+                    found.append(fingerprints(own[_first(own, rule.share_bits)]))
         return np.unique(np.concatenate(found), return_counts=True)
 
     return keys
@@ -147,26 +164,10 @@ def _level(sizes: np.ndarray, rule: Rule) -> np.ndarray:
     return np.floor(np.log(sizes) / np.log(rule.den / rule.num) + 1e-9).astype(np.int64)
 
 
-def _union(n: int, a: list[int], b: list[int]) -> list[int]:
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in zip(a, b, strict=True):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    return [root(x) for x in range(n)]
-
-
-_NAMES = ["kind", "doc_id", "n", "digest", "cid", "token", "level", "other", "prefix", "members"]
-_SCHEMA = "kind byte, doc_id long, n long, digest binary, cid long, token long, level int, other long, prefix binary, members binary"
-_KINDS = [pa.int8(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-DOC, CLASS, POSTING, EDGE = range(4)
+DOC, CLASS, OWN, CLASH = range(4)
+_SCHEMA = "kind byte, doc_id long, n long, cid long, own long, level int, home long, tokens array<long>, prefix binary, words binary"
+_NAMES = ["kind", "doc_id", "n", "cid", "own", "level", "home", "tokens", "prefix", "words"]
+_KINDS = [pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
 
 def _rows(kind: int, count: int, **columns) -> pa.RecordBatch:
@@ -179,9 +180,9 @@ def _rows(kind: int, count: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(data, names=_NAMES)
 
 
-def _index_segment(seg: int, path: str, blocks: list[bytes], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """A segment's documents, the classes that may have partners, their postings and the links among its own groups."""
-    own_keys, own_counts = _class_keys(rule)(path)
+def _index_segment(seg: int, path: str, blocks: list[bytes], rule: Rule, key: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """A segment's documents, and the classes that may have partners with their open prefix elements and their words."""
+    own_keys, own_counts = _class_keys(rule, key)(path)
     many = own_counts > 1
     elsewhere, totals = unpack_answer(blocks)
     # counts over all classes: what several segments hold is answered, the rest only this segment knows
@@ -191,190 +192,226 @@ def _index_segment(seg: int, path: str, blocks: list[bytes], rule: Rule) -> Iter
     df[np.searchsorted(shared, elsewhere)] = totals
     bits = rule.share_bits
     classes: dict[bytes, int] = {}
-    tokens, groups, sizes, cids = [], [], [], []
+    least: list[int] = []
+    doc_ids, doc_sizes, doc_classes, candidates = [], [], [], []
     for ids, texts in read_segment(path):
-        digests, ns = [], []
         kept: list[tuple] = []
-        for own in shingles(texts, rule.words):
-            d = _digest(own) if own.size else b""
-            digests.append(d)
-            ns.append(own.size)
-            if not own.size or d in classes:
-                continue
-            cid = seg << 32 | len(classes)
-            classes[d] = cid
-            first = _first(own, bits)
-            ranked = own[first]
-            at = np.minimum(np.searchsorted(shared, fingerprints(ranked)), max(0, shared.size - 1))
-            held = np.where(shared[at] == fingerprints(ranked), df[at], 1) if shared.size else np.ones(ranked.size, np.int64)
-            order = np.lexsort((ranked, held))
-            p = rule.prefix(own.size)
-            prefix, held = ranked[order][:p], held[order][:p]
-            open_ = held > 1
-            if prefix.size < p:
-                rest = own[~first][: p - prefix.size]
-                prefix, open_ = np.r_[prefix, rest], np.r_[open_, np.ones(rest.size, bool)]
-            if not open_.any():
-                continue
-            kept.append((cid, own, d, prefix, prefix[open_]))
-        yield _rows(DOC, len(texts), doc_id=pa.array(ids, mask=ids == NO_ID), n=np.array(ns, np.int64), digest=digests)
+        sets, plains, clash = shingles(texts, rule.words, key)
+        if clash:
+            yield _rows(CLASH, 1)
+        for doc, own, plain in zip(ids.tolist(), sets, plains, strict=True):
+            c = classes.get(plain, -1) if own.size else -1
+            if c >= 0:
+                least[c] = min(least[c], doc)
+            elif own.size:
+                c = classes[plain] = len(classes)
+                least.append(doc)
+                first = _first(own, bits)
+                ranked = own[first]
+                at = np.minimum(np.searchsorted(shared, fingerprints(ranked)), max(0, shared.size - 1))
+                held = np.where(shared[at] == fingerprints(ranked), df[at], 1) if shared.size else np.ones(ranked.size, np.int64)
+                order = np.lexsort((ranked, held))
+                p = rule.prefix(own.size)
+                prefix, held = ranked[order][:p], held[order][:p]
+                open_ = held > 1
+                if prefix.size < p:
+                    rest = own[~first][: p - prefix.size]
+                    prefix, open_ = np.r_[prefix, rest], np.r_[open_, np.ones(rest.size, bool)]
+                if open_.any():
+                    kept.append((c, own.size, prefix[open_].view(np.int64), plain))
+            doc_sizes.append(own.size)
+            doc_classes.append(c)
+        doc_ids.append(ids)
         if kept:
+            offsets = np.r_[0, np.cumsum([k[2].size for k in kept])]
+            sizes = np.array([k[1] for k in kept], np.int64)
             yield _rows(
-                CLASS, len(kept), cid=[k[0] for k in kept], n=[k[1].size for k in kept], digest=[k[2] for k in kept],
-                prefix=[k[4].tobytes() for k in kept], members=[k[1].tobytes() for k in kept],
+                CLASS, len(kept), cid=[seg << CLASS_BITS | k[0] for k in kept], n=sizes, level=_level(sizes, rule).astype(np.int32), home=[int(k[2].min()) for k in kept],
+                tokens=pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([k[2] for k in kept]))), prefix=[k[2].tobytes() for k in kept], words=[k[3] for k in kept],
             )
-            for cid, own, _, prefix, open_ in kept:
-                tokens.append(open_)
-                groups.append(hashlib.blake2b(prefix.tobytes(), digest_size=8).digest() + own.size.to_bytes(4, "little"))
-                sizes.append(own.size)
-                cids.append(cid)
-    if not cids:
-        return
-    # groups: classes with the same prefix and size; their first class stands for them
-    leader: dict[bytes, int] = {}
-    lead = [leader.setdefault(g, i) for i, g in enumerate(groups)]
-    heads = np.array(sorted(set(lead)))
-    size = np.array(sizes, np.int64)
-    counts = np.array([tokens[i].size for i in heads.tolist()])
-    token = np.concatenate([tokens[i] for i in heads.tolist()]).view(np.int64)
-    owner = np.repeat(heads, counts)
-    level = _level(size[owner], rule)
-    order = np.lexsort((owner, level, token))
-    token, owner, level = token[order], owner[order], level[order]
-    same = (token[1:] == token[:-1]) & (level[1:] == level[:-1])
-    near = (token[1:] == token[:-1]) & (level[1:] - level[:-1] <= 1)
-    root = _union(len(cids), [*owner[:-1][near].tolist(), *lead], [*owner[1:][near].tolist(), *range(len(lead))])
-    cid = np.array(cids, np.int64)
-    linked = [i for i, r in enumerate(root) if r != i]
-    if linked:
-        yield _rows(EDGE, len(linked), cid=cid[linked], other=cid[[root[i] for i in linked]])
-    head = np.r_[True, ~same]
-    yield _rows(POSTING, int(head.sum()), token=token[head], level=level[head].astype(np.int32), cid=cid[owner[head]])
-
-
-def _link_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between the holders of one element in the same or neighbouring levels; a spanning forest of them."""
-    parts = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
-    if not parts:
+            candidates += [k[0] for k in kept]
+    if not doc_ids:
         return
-    token, level, cid = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((cid, level, token))
-    token, level, cid = token[order], level[order], cid[order]
-    near = (token[1:] == token[:-1]) & (level[1:] - level[:-1] <= 1)
-    nodes, at = np.unique(cid, return_inverse=True)
-    root = _union(nodes.size, at[:-1][near].tolist(), at[1:][near].tolist())
-    linked = [i for i, r in enumerate(root) if r != i]
-    if linked:
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[[root[i] for i in linked]])], names=["cid", "other"])
-
-
-def _incidence(parts: list[np.ndarray]) -> np.ndarray:
-    """Which set holds which element, for the elements that two sets or more hold."""
-    sizes = [p.size for p in parts]
-    values, at, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    place = np.cumsum(counts > 1) - 1
-    row = np.repeat(np.arange(len(parts)), sizes)
-    use = counts[at] > 1
-    out = np.zeros((len(parts), max(1, int((counts > 1).sum()))), np.float32)
-    out[row[use], place[at[use]]] = 1
-    del values
+    ids, c, least = np.concatenate(doc_ids), np.array(doc_classes, np.int64), np.array([*least, NO_ID], np.int64)
+    for lo in range(0, ids.size, 1 << 16):
+        part, own = ids[lo : lo + (1 << 16)], c[lo : lo + (1 << 16)]
+        yield _rows(
+            DOC, part.size, doc_id=pa.array(part, mask=part == NO_ID), n=np.array(doc_sizes[lo : lo + (1 << 16)], np.int64),
+            cid=pa.array(seg << CLASS_BITS | np.maximum(own, 0), mask=own < 0), own=pa.array(least[own], mask=own < 0),
+        )
+    if candidates:
+        at = np.array(candidates, np.int64)
+        yield _rows(OWN, at.size, cid=seg << CLASS_BITS | at, own=least[at])
+
+
+def _exact_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """The distinct n-grams of each text as numbers: equal numbers are equal n-grams, without hashing."""
+    numbers: dict[bytes, int] = {}
+    parts = [t.split() for t in texts]
+    sizes = [len(p) for p in parts]
+    word = np.fromiter((numbers.setdefault(w, len(numbers)) for p in parts for w in p), np.int64, sum(sizes))
+    gram, span = word[: max(0, word.size - words + 1)], len(numbers)
+    for k in range(1, words):
+        if span * len(numbers) >= 1 << 62:
+            values, gram = np.unique(gram, return_inverse=True)
+            span = values.size
+        gram, span = gram * len(numbers) + word[k : k + gram.size], span * len(numbers)
+    gram = np.unique(gram, return_inverse=True)[1]
+    out, a, alone = [], 0, gram.size
+    for n in sizes:
+        if n >= words:
+            out.append(np.unique(gram[a : a + n - words + 1]))
+        else:
+            out.append(np.full(1, alone))  # a sequence of fewer words equals no other text's that is not equal as a whole
+            alone += 1
+        a += n
     return out
 
 
-def _products(a: list[np.ndarray], b: list[np.ndarray] | None, width: int = 1 << 14) -> np.ndarray:
-    """How many elements each two sets share (of ``a`` with ``b``, or of ``a`` with itself)."""
-    m = _incidence(a + (b or []))
-    left, right = m[: len(a)], m[len(a) :] if b is not None else m
-    out = np.zeros((len(a), right.shape[0]), np.float32)
-    for lo in range(0, m.shape[1], width):
-        out += left[:, lo : lo + width] @ right[:, lo : lo + width].T
-    return out
+def verify(ns: list[int], prefixes: list[np.ndarray], texts: list[bytes], rule: Rule) -> list[tuple[int, int]]:
+    """Links among the classes of a pool, by places: enough of the linked pairs to connect all that are connected."""
+    links: list[tuple[int, int]] = []
+    same: dict[bytes, int] = {}
+    for i, t in enumerate(texts):
+        if same.setdefault(t, i) != i:
+            links.append((same[t], i))
+    # groups of equal prefix and size, in order of size; pairs of groups filtered by size and shared prefix elements
+    groups: dict[tuple, list[int]] = {}
+    for i in same.values():
+        groups.setdefault((ns[i], prefixes[i].tobytes()), []).append(i)
+    order = sorted(groups)
+    members = [groups[g] for g in order]
+    size = np.array([g[0] for g in order], np.int64)
+    tokens = [prefixes[m[0]] for m in members]
+    counts = np.array([t.size for t in tokens])
+    start = np.r_[0, np.cumsum(counts)]
+    values, flat = np.unique(np.concatenate(tokens), return_inverse=True)
+    upto = np.searchsorted(rule.num * size, rule.den * size, side="right")
+    mark = np.zeros(values.size, bool)
+    partners: list[np.ndarray] = []
+    for g in range(len(members)):
+        lo, hi = g + 1, int(upto[g])
+        if hi <= lo:
+            partners.append(np.zeros(0, np.int64))
+            continue
+        own = flat[start[g] : start[g + 1]]
+        mark[own] = True
+        met = np.logical_or.reduceat(mark[flat[start[lo] : start[hi]]], start[lo:hi] - start[lo])
+        partners.append(lo + np.flatnonzero(met))
+        mark[own] = False
+    asked = {h for g, p in enumerate(partners) if p.size for h in (g, *p.tolist())} | {g for g, m in enumerate(members) if len(m) > 1}
+    if not asked:
+        return links
+    # members, verified on their words; what is connected already is not compared again
+    use = sorted(asked)
+    who = [i for g in use for i in members[g]]
+    sets = _exact_sets([texts[i] for i in who], rule.words)
+    first = dict(zip(use, np.r_[0, np.cumsum([len(members[g]) for g in use])].tolist(), strict=False))
+    n = np.array([x.size for x in sets], np.int64)
+    start = np.cumsum(n) - n
+    flat = np.concatenate(sets)
+    mark = np.zeros(int(flat.max()) + 1, bool)
+    label = np.arange(len(who))
+    for g in use:
+        others = np.concatenate([np.arange(first[h], first[h] + len(members[h])) for h in (g, *partners[g].tolist())])
+        for i in range(first[g], first[g] + len(members[g])):
+            js = others[others > i]
+            js = js[label[js] != label[i]]
+            if not js.size:
+                continue
+            mark[sets[i]] = True
+            hits = mark[flat_gather(flat, start[js], n[js])]
+            common = np.add.reduceat(hits.astype(np.int64), np.cumsum(n[js]) - n[js])
+            mark[sets[i]] = False
+            for j in js[rule.linked(common, n[i] + n[js] - common)].tolist():
+                if label[i] != label[j]:
+                    links.append((who[i], who[j]))
+                    label[label == label[j]] = label[i]
+    return links
 
 
-def verify(sizes_a, prefixes_a, sets_a, sizes_b, prefixes_b, sets_b, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """The linked pairs of two blocks (``None`` for the second: of a block with itself), by places."""
-    na = np.asarray(sizes_a, np.int64)
-    nb = na if sets_b is None else np.asarray(sizes_b, np.int64)
-    key = lambda n, p: (int(n), p.tobytes())
-    groups_a: dict = {}
-    for i, (n, p) in enumerate(zip(na, prefixes_a, strict=True)):
-        groups_a.setdefault(key(n, p), []).append(i)
-    groups_b = groups_a
-    if sets_b is not None:
-        groups_b = {}
-        for i, (n, p) in enumerate(zip(nb, prefixes_b, strict=True)):
-            groups_b.setdefault(key(n, p), []).append(i)
-    lead_a = [m[0] for m in groups_a.values()]
-    lead_b = [m[0] for m in groups_b.values()]
-    met = _products([prefixes_a[i] for i in lead_a], None if sets_b is None else [prefixes_b[i] for i in lead_b]) > 0
-    small, large = np.minimum.outer(na[lead_a], nb[lead_b]), np.maximum.outer(na[lead_a], nb[lead_b])
-    met &= rule.linked(small, large)
-    if sets_b is None:
-        met = np.triu(met | np.eye(len(lead_a), dtype=bool))
-    members_a, members_b = list(groups_a.values()), list(groups_b.values())
-    rows = sorted({i for g in np.flatnonzero(met.any(axis=1)).tolist() for i in members_a[g]})
-    columns = sorted({i for g in np.flatnonzero(met.any(axis=0)).tolist() for i in members_b[g]})
-    group_a, group_b = np.empty(na.size, np.int64), np.empty(nb.size, np.int64)
-    for g, m in enumerate(members_a):
-        group_a[m] = g
-    for g, m in enumerate(members_b):
-        group_b[m] = g
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if sets_b is None:
-        rows = columns = sorted({*rows, *columns})
-        common = _products([sets_a[i] for i in rows], None)
-    else:
-        common = _products([sets_a[i] for i in rows], [sets_b[i] for i in columns])
-    rows, columns = np.array(rows), np.array(columns)
-    common = np.rint(common).astype(np.int64)
-    union = na[rows][:, None] + nb[columns][None, :] - common
-    expanded = met[group_a[rows][:, None], group_b[columns][None, :]]
-    if sets_b is None:
-        expanded |= expanded.T
-    yes = rule.linked(common, union) & expanded
-    if sets_b is None:
-        yes = np.triu(yes, 1)
-    i, j = np.nonzero(yes)
-    return rows[i], columns[j]
-
-
-def _verify_blocks(rule: Rule):
-    """Rows ``part, side, cid, n, prefix, members``, sorted by part: links of each part as a spanning forest."""
-
-    def links(rows: list[tuple]) -> pa.RecordBatch | None:
-        sides: list[list[tuple]] = [[], []]
-        for row in rows:
-            sides[row[1]].append(row)
-        (a, b) = sides
-        as_sets = lambda side, k: [np.frombuffer(r[k], np.uint64) for r in side]
-        i, j = verify([r[3] for r in a], as_sets(a, 4), as_sets(a, 5), [r[3] for r in b], as_sets(b, 4), as_sets(b, 5) if b else None, rule)
-        if not i.size:
-            return None
-        cid = [r[2] for r in a + b]
-        root = _union(len(cid), i.tolist(), (j + len(a) if b else j).tolist())
-        linked = [k for k, r in enumerate(root) if r != k]
-        return pa.RecordBatch.from_arrays([pa.array([cid[k] for k in linked], pa.int64()), pa.array([cid[root[k]] for k in linked], pa.int64())], names=["src", "dst"])
+def _verify_pools(rule: Rule):
+    """Rows ``pool, cid, n, prefix, words``, sorted by pool: links between classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        src: list[int] = []
+        dst: list[int] = []
+
+        def close(rows: list[tuple]) -> None:
+            if len(rows) > 1:
+                for i, j in verify([r[2] for r in rows], [np.frombuffer(r[3], np.int64) for r in rows], [r[4] for r in rows], rule):
+                    src.append(rows[i][1])
+                    dst.append(rows[j][1])
+
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[0][0] != row[0]:
-                    out = links(held)
-                    if out is not None:
-                        yield out
+                    close(held)
                     held = []
                 held.append(row)
-        if held:
-            out = links(held)
-            if out is not None:
-                yield out
+            if len(src) > 10000:
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+                src, dst = [], []
+        close(held)
+        if src:
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10, block: int = BLOCK) -> DataFrame:
+def _links(sets: DataFrame, asked: DataFrame, rule: Rule, partitions: int, name: str) -> DataFrame:
+    """Links in the pools that ``asked`` (``pool, cid``) deals the classes to."""
+    asked = written(asked.select("pool", "cid").distinct(), f"{name}-asked")
+    if asked.count() <= BROADCAST_LABELS:
+        asked = F.broadcast(asked)
+    dealt = sets.select("cid", "n", "prefix", "words").join(asked, "cid").select("pool", "cid", "n", "prefix", "words")
+    return written(dealt.repartition(partitions, "pool").sortWithinPartitions("pool", "cid").mapInArrow(_verify_pools(rule), "src long, dst long"), name)
+
+
+def _link_classes(sets: DataFrame, rule: Rule, partitions: int, block: int) -> DataFrame:
+    """``src, dst``: links between classes (``cid, n, level, home, tokens, prefix, words``)."""
+    chunk = ["level", "home", "salt"]
+    amount = lambda c, e, part: F.greatest(F.lit(1), F.ceil(F.col(c) / (block / part)), F.ceil(F.col(e) / (BLOCK_ELEMENTS / part))).cast("long")
+    salts = sets.groupBy("level", "home").agg(F.count("*").alias("c"), F.sum("n").alias("e")).select("level", "home", amount("c", "e", 2).alias("salts")).where("salts > 1")
+    salted = sets.select("cid", "n", "level", "home", "tokens").join(salts, ["level", "home"], "left").withColumn("salt", F.expr("pmod(xxhash64(cid), coalesce(salts, 1))")).drop("salts")
+    light = written(salted, "jaccard-light")
+
+    # the holders of an element in a level, and those a level higher, meet in the pool of the smallest chunk of that level
+    holders = light.select(F.explode("tokens").alias("token"), *chunk).distinct()
+    pivots = holders.groupBy("token", "level").agg(F.min(F.struct("home", "salt")).alias("p"))
+    asked_by = pivots.select("token", "level", F.col("level").alias("p_level"), "p").unionByName(pivots.select("token", (F.col("level") + 1).alias("level"), F.col("level").alias("p_level"), "p"))
+    pivot = ["p_level", "p_home", "p_salt"]
+    meet = written(holders.join(asked_by, ["token", "level"]).select("p_level", F.col("p.home").alias("p_home"), F.col("p.salt").alias("p_salt"), *chunk).distinct(), "jaccard-meet")
+    sizes = light.groupBy(*chunk).agg(F.count("*").alias("c"), F.sum("n").alias("e"))
+    pools = meet.join(sizes, chunk).groupBy(*pivot).agg(F.sum("c").alias("c"), F.sum("e").alias("e")).where("c > 1").select(*pivot, amount("c", "e", 1).alias("blocks"))
+    is_pivot = F.expr("p_level = level and p_home = home and p_salt = salt")
+    own_block = F.expr("pmod(xxhash64(level, home, salt), blocks)")
+    dealt = written(meet.join(pools, pivot).withColumn("block", own_block), "jaccard-dealt")
+    every = dealt.withColumn("block", F.explode(F.when(is_pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    pool = F.concat_ws(":", *pivot, "block").alias("pool")
+    found = _links(sets, light.select("cid", *chunk).join(every, chunk).select(pool, "cid"), rule, partitions, "jaccard-links")
+
+    # blocks of one pivot that hold an element and are of several components yet: its holders, block with block
+    wide = dealt.where("blocks > 1")
+    if wide.isEmpty():
+        return found
+    labels = connected_components(found)
+    now = light.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid"))
+    of = (
+        now.select("cid", "label", *chunk, F.explode("tokens").alias("token"))
+        .join(asked_by.select("token", "level", "p_level", F.col("p.home").alias("p_home"), F.col("p.salt").alias("p_salt")), ["token", "level"])
+        .join(wide.select(*pivot, *chunk, "block"), [*pivot, *chunk])
+        .where(~is_pivot)
+    )
+    doubt = of.groupBy(*pivot, "token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("block").alias("b0"), F.max("block").alias("b1")).where("l0 <> l1 and b0 <> b1").select(*pivot, "token")
+    rest = written(of.join(doubt, [*pivot, "token"]).select(*pivot, "token", "block", "cid"), "jaccard-rest")
+    blocks = rest.select(*pivot, "token", F.col("block").alias("with")).distinct()
+    pairs = rest.join(blocks, [*pivot, "token"]).where("block <> with").select(F.concat_ws(":", *pivot, F.least("block", "with"), F.greatest("block", "with")).alias("pool"), "cid")
+    return found.unionByName(_links(sets, pairs, rule, partitions, "jaccard-rest-links"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10, block: int = BLOCK, hash_bits: int = 64) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: the size of its set and the smallest id reachable by links.
 
     Two documents link when ``den * |intersection| >= num * |union|`` of their sets of distinct word n-grams. Words are runs
@@ -382,61 +419,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Defined cases: a null text or one without words has an empty set and no links; a null id counts as larger than any
     other and its row is labelled with the smallest id of its component, null if there is none; repeated rows link with each
-    other; an empty input gives no rows; other columns are ignored.
+    other; an empty input gives no rows; other columns are ignored. ``hash_bits`` shortens the first key's word hashes (for
+    tests of collisions).
     """
     rule = Rule(words, num, den)
     segments = Segments(docs, id_col, text_col)
-    spark = segments.spark
     if not segments.count:
-        return spark.createDataFrame([], "doc_id long, n_shingles long, component_id long")
-    known = shared_keys(segments, _class_keys(rule))
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seg, path, blocks in gathered(batches):
-            yield from _index_segment(seg, path, blocks, rule)
-
-    indexed = written(segments.with_blocks(known).mapInArrow(index, _SCHEMA), "jaccard-index", compression="zstd")
-    rows = indexed.where(f"kind = {DOC}").select("doc_id", "n", "digest")
-    postings = indexed.where(f"kind = {POSTING}").select("token", "level", "cid").repartition(segments.buckets, "token")
-    near = indexed.where(f"kind = {EDGE}").select("cid", "other").unionByName(postings.mapInArrow(_link_postings, "cid long, other long"))
-    together = written(connected_components(near, "cid", "other"), "jaccard-near")
-    sets = indexed.where(f"kind = {CLASS}").select("cid", "n", "digest", "prefix", "members")
-
-    # connected classes, equal sets once, in order of size, cut into blocks
-    near_sets = sets.select("cid", "n", "digest").join(together.withColumnRenamed("node", "cid"), "cid")
-    once = near_sets.groupBy("component", "digest", "n").agg(F.min("cid").alias("cid"))
-    place = F.row_number().over(W.partitionBy("component").orderBy("n", "cid")) - 1
-    placed = written(once.withColumn("chunk", F.floor(place / block).cast("int")), "jaccard-placed")
-    chunks = placed.groupBy("component", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("size"))
-    left, right = chunks.alias("l"), chunks.alias("r")
-    parts = (
-        left.join(right, (F.col("l.component") == F.col("r.component")) & (F.col("l.chunk") <= F.col("r.chunk")) & (F.col("l.hi") * den >= F.col("r.lo") * num))
-        .where("l.chunk <> r.chunk or l.size > 1")
-        .select("l.component", F.col("l.chunk").alias("i"), F.col("r.chunk").alias("j"))
-        .withColumn("part", F.struct("component", "i", "j"))
-    )
-    sides = parts.select("component", F.col("i").alias("chunk"), "part", F.lit(0).alias("side")).unionByName(
-        parts.where("i <> j").select("component", F.col("j").alias("chunk"), "part", F.lit(1).alias("side"))
-    )
-    labels = placed.join(sides, ["component", "chunk"]).select("cid", "part", "side")
-    if placed.count() <= BROADCAST_LABELS:
-        labels = F.broadcast(labels)
-    blocks = (
-        sets.join(labels, "cid")
-        .select(F.expr("concat_ws(':', part.component, part.i, part.j)").alias("part"), "side", "cid", "n", "prefix", "members")
-        .repartition(segments.buckets, "part")
-        .sortWithinPartitions("part")
-    )
-    links = blocks.mapInArrow(_verify_blocks(rule), "src long, dst long")
-    linked = connected_components(links)
+        return segments.spark.createDataFrame([], "doc_id long, n_shingles long, component_id long")
+    key = 0, hash_bits
+    while True:
+
+        def index(batches: Iterator[pa.RecordBatch], key: tuple[int, int] = key) -> Iterator[pa.RecordBatch]:
+            for seg, path, blocks in gathered(batches):
+                yield from _index_segment(seg, path, blocks, rule, key)
+
+        known = shared_keys(segments, _class_keys(rule, key))
+        indexed = written(segments.with_blocks(known).mapInArrow(index, _SCHEMA), "jaccard-index", compression="zstd")
+        if indexed.where(f"kind = {CLASH}").isEmpty():
+            break
+        key = key[0] + 1, 64
+    sets = indexed.where(f"kind = {CLASS}").select("cid", "n", "level", "home", "tokens", "prefix", "words")
+    linked = connected_components(_link_classes(sets, rule, segments.buckets, block)).select(F.col("node").alias("cid"), "component")
 
     # from classes back to documents
-    some_id = F.min(F.coalesce(F.col("doc_id"), F.lit(int(NO_ID))))
-    by_digest = rows.where("n > 0").groupBy("digest").agg(some_id.alias("own"))
-    grouped = once.select("cid", "digest").join(linked.withColumnRenamed("node", "cid"), "cid").join(by_digest, "digest")
-    smallest = grouped.groupBy(F.col("component")).agg(F.min("own").alias("least"))
-    found = by_digest.join(grouped.select("digest", "component").join(smallest, "component").select("digest", "least"), "digest", "left").select(
-        "digest", F.coalesce("least", "own").alias("least")
-    )
-    label = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("least") != int(NO_ID), F.col("least")))
-    return rows.join(found, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"))
+    own = indexed.where(f"kind = {OWN}").select("cid", "own")
+    smallest = linked.join(own, "cid").groupBy("component").agg(F.min("own").alias("least"))
+    found = linked.join(smallest, "component").select("cid", "least")
+    rows = indexed.where(f"kind = {DOC}").select("doc_id", "n", "cid", "own")
+    least = F.coalesce("least", "own")
+    label = F.when(F.col("n") == 0, F.col("doc_id")).when(least != int(NO_ID), least)
+    return rows.join(found, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"))

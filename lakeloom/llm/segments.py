@@ -4,7 +4,8 @@ Operators that compare all documents with all others read the documents several
 *segments* (files of bounded size that one task reads again by path), so the text itself is never shuffled. For the
 question "which of my keys occur elsewhere?" a segment sends its distinct keys, six bytes each, in one block per bucket;
 a bucket's task finds the keys that several segments hold and answers each of them. A key that a third of all
-documents hold is one entry per segment, so no task grows with such a key.
+documents hold is one entry per segment, so no task grows with such a key. The listing of segments is a table; buckets
+grow with the bytes of all segments, so that one bucket's keys fit in a task.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from .files import make_folder, place
 
 SEGMENT_BYTES = 48 << 20
 KEY_BYTES = 6
+#: Bytes of segments for each bucket, at most.
+BUCKET_BYTES = 256 << 20
+#: Segments of one task of the writer, as a power of two.
+PART_BITS = 16
 #: Stands for a null id, behind every other.
 NO_ID = np.iinfo(np.int64).max
 
@@ -36,11 +41,12 @@ class Segments:
         make_folder(folder)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            writer, held, part = None, 0, 0
+            task, writer, held, part = TaskContext.get().partitionId(), None, 0, 0
+            closed = lambda: pa.RecordBatch.from_arrays([pa.array([task << PART_BITS | part]), pa.array([f"{folder}/{name}"]), pa.array([held])], names=["seg", "path", "n_bytes"])
             for batch in chunks(batches):
                 if writer is None:
                     system, base = place(folder)
-                    name = f"{TaskContext.get().partitionId():06d}-{part:04d}-{uuid.uuid4().hex}.arrow"
+                    name = f"{task:06d}-{part:04d}-{uuid.uuid4().hex}.arrow"
                     sink = system.open_output_stream(f"{base}/{name}")
                     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())])
                     writer = pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
@@ -50,31 +56,30 @@ class Segments:
                 if held >= segment_bytes:
                     writer.close()
                     sink.close()
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
+                    yield closed()
                     writer, held, part = None, 0, part + 1
             if writer is not None:
                 writer.close()
                 sink.close()
-                yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
+                yield closed()
 
-        listed = written(only(docs, id_col, text_col).mapInArrow(run, "path string"), "segment-list")
-        # a listing of files of SEGMENT_BYTES each, not of documents
-        self.paths = sorted(r.path for r in listed.collect())
-        self.count = len(self.paths)
-        self.listing = self.spark.createDataFrame(list(enumerate(self.paths)), "seg int, path string")
+        listed = written(only(docs, id_col, text_col).mapInArrow(run, "seg long, path string, n_bytes long"), "segment-list")
+        self.listing = listed.select("seg", "path")
+        self.count, n_bytes = listed.agg(F.count("*"), F.sum("n_bytes")).first()
         #: Partitions for what is dealt out by key.
-        self.buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        self.buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-(n_bytes or 0) // BUCKET_BYTES))
 
     def rows(self) -> DataFrame:
-        """``seg, path``, one partition each."""
-        return self.listing.repartitionById(max(1, self.count), F.col("seg"))
+        """``seg, path``, about one a partition."""
+        return self.listing.repartition(max(1, self.count))
 
     def with_blocks(self, blocks: DataFrame) -> DataFrame:
-        """``seg, path, block``: each segment's path and the blocks (``seg, block``) meant for it, in its own partition."""
+        """``seg, path, block``: each segment's path and the blocks (``seg, block``) meant for it, one after another."""
         return (
             self.listing.select("seg", "path", F.lit(None).cast("binary").alias("block"))
             .unionByName(blocks.select("seg", F.lit(None).cast("string").alias("path"), "block"))
-            .repartitionById(max(1, self.count), F.col("seg"))
+            .repartition(max(1, 3 * self.count), "seg")
+            .sortWithinPartitions("seg")
         )
 
 
@@ -88,17 +93,20 @@ def read_segment(path: str) -> Iterator[tuple[np.ndarray, list[bytes]]]:
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, list[bytes]]]:
-    """Per segment of the partition: number, path, its blocks."""
-    paths: dict[int, str] = {}
-    blocks: dict[int, list[bytes]] = {}
+    """Per segment of the partition, which is sorted by them: number, path, its blocks."""
+    now, where, blocks = None, "", []
     for batch in batches:
         for seg, path, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if seg != now:
+                if now is not None:
+                    yield now, where, blocks
+                now, blocks = seg, []
             if path is not None:
-                paths[seg] = path
+                where = path
             if block is not None:
-                blocks.setdefault(seg, []).append(block)
-    for seg, path in paths.items():
-        yield seg, path, blocks.pop(seg, [])
+                blocks.append(block)
+    if now is not None:
+        yield now, where, blocks
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -136,7 +144,7 @@ def shared_keys(segments: Segments, keys: Callable[[str], tuple[np.ndarray, np.n
                     lo, hi = cuts[b], cuts[b + 1]
                     if hi > lo:
                         block = pack_keys(found[lo:hi]) + counts[lo:hi].tobytes()
-                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([seg], pa.int32()), pa.array([block], pa.binary())], names=["bucket", "seg", "block"])
+                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([seg], pa.int64()), pa.array([block], pa.binary())], names=["bucket", "seg", "block"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, counts, owners = [], [], []
@@ -145,7 +153,7 @@ def shared_keys(segments: Segments, keys: Callable[[str], tuple[np.ndarray, np.n
                 n = len(block) // (KEY_BYTES + 1)
                 found.append(unpack_keys(memoryview(block)[: n * KEY_BYTES]))
                 counts.append(np.frombuffer(block, np.uint8, n, n * KEY_BYTES))
-                owners.append(np.full(n, seg, np.int32))
+                owners.append(np.full(n, seg, np.int64))
         if not found:
             return
         key, count, owner = np.concatenate(found), np.concatenate(counts).astype(np.int64), np.concatenate(owners)
@@ -160,10 +168,10 @@ def shared_keys(segments: Segments, keys: Callable[[str], tuple[np.ndarray, np.n
         key, owner, total = key[order], owner[order], total[order]
         for seg in np.unique(owner):
             lo, hi = np.searchsorted(owner, [seg, seg + 1])
-            yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([pack_keys(key[lo:hi]) + total[lo:hi].tobytes()], pa.binary())], names=["seg", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int64()), pa.array([pack_keys(key[lo:hi]) + total[lo:hi].tobytes()], pa.binary())], names=["seg", "block"])
 
-    sent = segments.rows().mapInArrow(send, "bucket int, seg int, block binary")
-    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(answer, "seg int, block binary")
+    sent = segments.rows().mapInArrow(send, "bucket int, seg long, block binary")
+    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(answer, "seg long, block binary")
 
 
 def unpack_answer(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -269,7 +269,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for seg, path, blocks in gathered(batches):
             yield from _candidates(seg, path, unpack_answer(blocks)[0], length, buckets)
 
-    sent = segments.with_blocks(known).mapInArrow(snippets, "bucket int, seg int, ranges binary, meta binary, lens binary, text binary")
+    sent = segments.with_blocks(known).mapInArrow(snippets, "bucket int, seg long, ranges binary, meta binary, lens binary, text binary")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -286,7 +286,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield from _matched(held, length)
 
     dealt = sent.repartitionById(segments.buckets, F.expr(f"bucket % {segments.buckets}")).sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(match, "seg int, block binary")
+    found = dealt.mapInArrow(match, "seg long, block binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, path, blocks in gathered(batches):
@@ -328,7 +328,7 @@ def _content(data: np.ndarray, at: np.ndarray, n_bytes: np.ndarray) -> np.ndarra
 
 
 def _answer(seg: int, ranges: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([ranges], pa.binary())], names=["seg", "block"])
+    return pa.RecordBatch.from_arrays([pa.array([seg], pa.int64()), pa.array([ranges], pa.binary())], names=["seg", "block"])
 
 
 def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -471,7 +471,7 @@ def _candidates(seg: int, path: str, elsewhere: np.ndarray, length: int, buckets
     who, lo, hi = _shown(data, place, size, key, doc, groups, length, True)
     if who.size:
         ranges = _pack_ranges(*_merge(row[who], at[who] + lo, at[who] + hi))
-        yield pa.RecordBatch.from_arrays([pa.array([seg % buckets], pa.int32()), pa.array([seg], pa.int32()), pa.array([ranges], pa.binary()), *(pa.nulls(1, pa.binary()),) * 3], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([seg % buckets], pa.int32()), pa.array([seg], pa.int64()), pa.array([ranges], pa.binary()), *(pa.nulls(1, pa.binary()),) * 3], names=names)
     go = np.flatnonzero(~groups.repeats)
     to = (_mixed(key[go]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
@@ -486,6 +486,6 @@ def _candidates(seg: int, path: str, elsewhere: np.ndarray, length: int, buckets
             n = size[own]
             gather = np.repeat(place[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int32()), pa.array([seg], pa.int32()), pa.nulls(1, pa.binary()), pa.array([meta[lo:hi].tobytes()], pa.binary()), pa.array([n.astype("<u2").tobytes()], pa.binary()), pa.array([data[gather].tobytes()], pa.binary())],
+                [pa.array([b], pa.int32()), pa.array([seg], pa.int64()), pa.nulls(1, pa.binary()), pa.array([meta[lo:hi].tobytes()], pa.binary()), pa.array([n.astype("<u2").tobytes()], pa.binary()), pa.array([data[gather].tobytes()], pa.binary())],
                 names=names,
             )

@@ -96,7 +96,42 @@ def test_sides_of_the_threshold():
 
 def test_hashing_ignores_place_and_batch():
     texts = [b"Alpha beta\tGAMMA delta", b"", b"one two", b" alpha  beta gamma\x0bdelta "]
-    together = jaccard.shingles(texts, 3)
-    alone = [jaccard.shingles([t], 3)[0] for t in texts]
-    assert all((a == b).all() for a, b in zip(together, alone, strict=True))
+    together, plain, clash = jaccard.shingles(texts, 3)
+    alone = [jaccard.shingles([t], 3)[0][0] for t in texts]
+    assert all((a == b).all() for a, b in zip(together, alone, strict=True)) and not clash
     assert (together[0] == together[3]).all() and together[1].size == 0 and together[2].size == 1
+    assert plain[0] == plain[3] == b"alpha beta gamma delta"
+
+
+def test_colliding_hashes_change_nothing(spark):
+    """With few bits texts have n-grams of one hash (all starts anew) or share hashes with others (words decide)."""
+    rows = corpus(8, 120, 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, 3, 90, 100)
+    for bits in (1, 3, 6):
+        assert got(jaccard.jaccard_components(df, words=3, num=90, den=100, hash_bits=bits)) == want
+    assert jaccard.shingles([b"a b c d e f g h"], 1, (0, 1))[2] and not jaccard.shingles([b"a b a b a b"], 1, (0, 64))[2]
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} x y"), (2, f"{other} x y"), (3, f"{word} x y"), (4, f"{word}{other} x"), (5, f"{other}{word} x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jaccard.jaccard_components(df, words=3, num=90, den=100)) == brute(rows, 3, 90, 100) == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 4), (5, 1, 5)]
+
+
+def test_elements_shared_by_unlinked_texts(spark):
+    """A passage in all texts, short ones of near sizes among them: more pools than one and several components in each."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        own = [f"u{i}x{j}" for j in range(rng.randrange(1, 8))]
+        rows.append((i, " ".join(["same", "few", "words", "here", "now", "again"] + own)))
+        if i % 3 == 0:
+            rows.append((1000 + i, " ".join(["same", "few", "words", "here", "now", "again"] + own + ["x"] * (i % 2))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for block in (4, 16, 1000):
+        assert got(jaccard.jaccard_components(df, words=2, num=6, den=10, block=block)) == brute(rows, 2, 6, 10)
