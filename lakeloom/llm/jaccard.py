@@ -43,6 +43,7 @@ _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Classes of a pool, about, and their n-grams.
 BLOCK = 1024
 BLOCK_ELEMENTS = 1 << 20
+SPREAD = 64
 #: Classes of a segment, as a power of two.
 CLASS_BITS = 24
 #: Words that a worker remembers with their hashes.
@@ -182,46 +183,57 @@ def _rows(kind: int, count: int, **columns) -> pa.RecordBatch:
 
 def _index_segment(seg: int, path: str, blocks: list[bytes], rule: Rule, key: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """A segment's documents, and the classes that may have partners with their open prefix elements and their words."""
-    own_keys, own_counts = _class_keys(rule, key)(path)
-    many = own_counts > 1
-    elsewhere, totals = unpack_answer(blocks)
-    # counts over all classes: what several segments hold is answered, the rest only this segment knows
-    shared = np.union1d(elsewhere, own_keys[many])
-    df = np.zeros(shared.size, np.int64)
-    df[np.searchsorted(shared, own_keys[many])] = np.minimum(own_counts[many], 255)
-    df[np.searchsorted(shared, elsewhere)] = totals
     bits = rule.share_bits
     classes: dict[bytes, int] = {}
     least: list[int] = []
-    doc_ids, doc_sizes, doc_classes, candidates = [], [], [], []
+    found: list[np.ndarray] = []
+    doc_ids, doc_sizes, doc_classes = [], [], []
     for ids, texts in read_segment(path):
-        kept: list[tuple] = []
         sets, plains, clash = shingles(texts, rule.words, key)
         if clash:
             yield _rows(CLASH, 1)
         for doc, own, plain in zip(ids.tolist(), sets, plains, strict=True):
-            c = classes.get(plain, -1) if own.size else -1
-            if c >= 0:
-                least[c] = min(least[c], doc)
-            elif own.size:
-                c = classes[plain] = len(classes)
-                least.append(doc)
-                first = _first(own, bits)
-                ranked = own[first]
-                at = np.minimum(np.searchsorted(shared, fingerprints(ranked)), max(0, shared.size - 1))
-                held = np.where(shared[at] == fingerprints(ranked), df[at], 1) if shared.size else np.ones(ranked.size, np.int64)
-                order = np.lexsort((ranked, held))
-                p = rule.prefix(own.size)
-                prefix, held = ranked[order][:p], held[order][:p]
-                open_ = held > 1
-                if prefix.size < p:
-                    rest = own[~first][: p - prefix.size]
-                    prefix, open_ = np.r_[prefix, rest], np.r_[open_, np.ones(rest.size, bool)]
-                if open_.any():
-                    kept.append((c, own.size, prefix[open_].view(np.int64), plain))
+            c = -1
+            if own.size:
+                c = classes.setdefault(plain, len(classes))
+                if c == len(least):
+                    least.append(doc)
+                    found.append(own)
+                else:
+                    least[c] = min(least[c], doc)
             doc_sizes.append(own.size)
             doc_classes.append(c)
         doc_ids.append(ids)
+    if not doc_ids:
+        return
+    own_keys, own_counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *(fingerprints(x[_first(x, bits)]) for x in found)]), return_counts=True)
+    many = own_counts > 1
+    elsewhere, totals = unpack_answer(blocks)
+    # counts over all classes: what several segments hold is answered, the rest only this segment knows
+    shared = np.union1d(elsewhere, own_keys[many])
+    df = np.zeros(shared.size, np.int64)
+    df[np.searchsorted(shared, own_keys[many])] = np.minimum(own_counts[many], 255)
+    df[np.searchsorted(shared, elsewhere)] = totals
+    candidates: list[int] = []
+    plains = iter(classes)
+    for lo in range(0, len(found), 4096):
+        kept = []
+        for c, own in enumerate(found[lo : lo + 4096], lo):
+            plain = next(plains)
+            first = _first(own, bits)
+            ranked = own[first]
+            prints = fingerprints(ranked)
+            at = np.minimum(np.searchsorted(shared, prints), max(0, shared.size - 1))
+            held = np.where(shared[at] == prints, df[at], 1) if shared.size else np.ones(ranked.size, np.int64)
+            order = np.lexsort((ranked, held))
+            p = rule.prefix(own.size)
+            prefix, held = ranked[order][:p], held[order][:p]
+            open_ = held > 1
+            if prefix.size < p:
+                rest = own[~first][: p - prefix.size]
+                prefix, open_ = np.r_[prefix, rest], np.r_[open_, np.ones(rest.size, bool)]
+            if open_.any():
+                kept.append((c, own.size, prefix[open_].view(np.int64), plain))
         if kept:
             offsets = np.r_[0, np.cumsum([k[2].size for k in kept])]
             sizes = np.array([k[1] for k in kept], np.int64)
@@ -230,8 +242,6 @@ def _index_segment(seg: int, path: str, blocks: list[bytes], rule: Rule, key: tu
                 tokens=pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([k[2] for k in kept]))), prefix=[k[2].tobytes() for k in kept], words=[k[3] for k in kept],
             )
             candidates += [k[0] for k in kept]
-    if not doc_ids:
-        return
     ids, c, least = np.concatenate(doc_ids), np.array(doc_classes, np.int64), np.array([*least, NO_ID], np.int64)
     for lo in range(0, ids.size, 1 << 16):
         part, own = ids[lo : lo + (1 << 16)], c[lo : lo + (1 << 16)]
@@ -398,16 +408,20 @@ def _link_classes(sets: DataFrame, rule: Rule, partitions: int, block: int) -> D
         return found
     labels = connected_components(found)
     now = light.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("component", "cid"))
-    of = (
+    spread = F.expr(f"cast(pmod(xxhash64(cid), {SPREAD}) as int)").alias("s")  # an element that very many hold is dealt to SPREAD tasks
+    each = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("s")
+    of = written(
         now.select("cid", "label", *chunk, F.explode("tokens").alias("token"))
         .join(asked_by.select("token", "level", "p_level", F.col("p.home").alias("p_home"), F.col("p.salt").alias("p_salt")), ["token", "level"])
         .join(wide.select(*pivot, *chunk, "block"), [*pivot, *chunk])
         .where(~is_pivot)
+        .select("cid", "label", "token", *pivot, "block", spread),
+        "jaccard-of",
     )
-    doubt = of.groupBy(*pivot, "token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("block").alias("b0"), F.max("block").alias("b1")).where("l0 <> l1 and b0 <> b1").select(*pivot, "token")
-    rest = written(of.join(doubt, [*pivot, "token"]).select(*pivot, "token", "block", "cid"), "jaccard-rest")
-    blocks = rest.select(*pivot, "token", F.col("block").alias("with")).distinct()
-    pairs = rest.join(blocks, [*pivot, "token"]).where("block <> with").select(F.concat_ws(":", *pivot, F.least("block", "with"), F.greatest("block", "with")).alias("pool"), "cid")
+    doubt = of.groupBy(*pivot, "token").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("block").alias("b0"), F.max("block").alias("b1")).where("l0 <> l1 and b0 <> b1").select(*pivot, "token", each)
+    rest = written(of.join(doubt, [*pivot, "token", "s"]).select(*pivot, "token", "s", "block", "cid"), "jaccard-rest")
+    blocks = rest.select(*pivot, "token", F.col("block").alias("with")).distinct().select("*", each)
+    pairs = rest.join(blocks, [*pivot, "token", "s"]).where("block <> with").select(F.concat_ws(":", *pivot, F.least("block", "with"), F.greatest("block", "with")).alias("pool"), "cid")
     return found.unionByName(_links(sets, pairs, rule, partitions, "jaccard-rest-links"))
 
 

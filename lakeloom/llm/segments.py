@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import chunks, only, scratch, written
 from .files import make_folder, place
 
-SEGMENT_BYTES = 48 << 20
+SEGMENT_BYTES = 32 << 20
 KEY_BYTES = 6
 #: Bytes of segments for each bucket, at most.
 BUCKET_BYTES = 256 << 20
@@ -65,20 +65,23 @@ class Segments:
 
         listed = written(only(docs, id_col, text_col).mapInArrow(run, "seg long, path string, n_bytes long"), "segment-list")
         self.listing = listed.select("seg", "path")
-        self.count, n_bytes = listed.agg(F.count("*"), F.sum("n_bytes")).first()
+        self.count, n_bytes, parts, tasks = listed.agg(F.count("*"), F.sum("n_bytes"), F.max(F.expr(f"seg & {(1 << PART_BITS) - 1}")) + 1, F.max(F.expr(f"shiftright(seg, {PART_BITS})")) + 1).first()
+        #: Partitions with one segment each, if the writer's tasks made about as many each.
+        self._room = min((parts or 0) * (tasks or 0), 4 * self.count) or 1
+        self._partition = F.expr(f"cast(pmod(shiftright(seg, {PART_BITS}) * {parts or 1} + (seg & {(1 << PART_BITS) - 1}), {self._room}) as int)")
         #: Partitions for what is dealt out by key.
         self.buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-(n_bytes or 0) // BUCKET_BYTES))
 
     def rows(self) -> DataFrame:
         """``seg, path``, about one a partition."""
-        return self.listing.repartition(max(1, self.count))
+        return self.listing.repartitionById(self._room, self._partition)
 
     def with_blocks(self, blocks: DataFrame) -> DataFrame:
         """``seg, path, block``: each segment's path and the blocks (``seg, block``) meant for it, one after another."""
         return (
             self.listing.select("seg", "path", F.lit(None).cast("binary").alias("block"))
             .unionByName(blocks.select("seg", F.lit(None).cast("string").alias("path"), "block"))
-            .repartition(max(1, 3 * self.count), "seg")
+            .repartitionById(self._room, self._partition)
             .sortWithinPartitions("seg")
         )
 
