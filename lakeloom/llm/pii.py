@@ -7,6 +7,9 @@ logistic span classifier is trained on the posteriors. Valid base matches are kn
 test (octets over 255, a bad Luhn sum, a wrong count of digits) known counterexamples; looser candidates are a class with a
 prior of its own. Base spans stay in any case; a looser candidate becomes a span where the classifier is sure.
 
+Long texts: places are prefix sums over blocks of matches, a match carries the text around it, and redaction cuts the text in
+blocks once, so time grows with the text (times the square root of its matches at worst), not with its square.
+
 Scale: no shuffle but the counts of vote patterns, which are at most a few thousand rows whatever the input; the
 fitted weights return as literals. Patterns are possessive, so long texts need no backtracking and no deep stack.
 """
@@ -57,27 +60,61 @@ CUES = {
     "phone": "(?i)(?:phone|\\btel\\b|call|mobile|cell|fax|whatsapp|telefon|t\\u00e9l)",
 }
 AGAINST = "(?i)(?:version|\\bv\\.|section|isbn|figure|license|\\border\\b|serial|build|chapter|page)"
-#: Characters before a candidate that the context labeler reads.
+#: Elements of an array that are worked on one after another; longer arrays go by such blocks.
+BLOCK = 256
+#: Characters of a text that redaction cuts at once.
+CUT = 4096
+#: Characters before a candidate, since the last match of its pattern, that the context labeler reads.
 CONTEXT = 32
 LABELERS = ["pattern", "format", "gazetteer", "context", "border"]
 #: Probability from which a looser candidate becomes a span.
 SURE = 0.9
 #: The prior of a looser candidate is at most even, so the classifier's bias for one is at most 0.
 MOST_LOOSE = 0.5
-_MATCH = "struct<lo: int, hi: int, hit: string, loose: boolean>"
+_MATCH = "struct<lo: int, hi: int, hit: string, loose: boolean, before: string, left: string, right: string>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """An array cut into arrays of at most ``BLOCK`` elements."""
+    of = lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK))
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), of)).otherwise(F.array(items))
+
+
+def _earlier(numbers: Column, merge) -> Column:
+    """For each element of an array of integers the ``merge`` (sum, or maximum of what is not negative) of all before it, 0 for the first."""
+    start = F.struct(F.lit(0).alias("acc"), F.array().cast("array<int>").alias("out"))
+    step = lambda s, x: F.struct(merge(s["acc"], x).alias("acc"), F.concat(s["out"], F.array(s["acc"])).alias("out"))
+    inner = F.transform(_blocks(numbers), lambda block: F.aggregate(block, start, step))
+    offsets = lambda done: F.aggregate(F.transform(done, lambda d: d["acc"]), start, step)["out"]
+    return _let(inner, lambda done: F.flatten(F.zip_with(done, offsets(done), lambda d, o: F.transform(d["out"], lambda x: merge(o, x)))))
 
 
 def _matches(text: Column, pattern: str, loose: bool) -> Column:
-    """Places (code points) and strings of all matches, from the pieces between them."""
+    """Places (code points), strings and surroundings of all matches, from the pieces between them."""
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.lit(None).cast(f"array<{_MATCH}>")
-    pairs = F.filter(F.arrays_zip(pieces.alias("piece"), hits.alias("hit")), lambda z: z["hit"].isNotNull())
-    step = lambda acc, z: F.struct(
-        (acc["at"] + F.length(z["piece"]) + F.length(z["hit"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(z["piece"])).alias("lo"), (acc["at"] + F.length(z["piece"]) + F.length(z["hit"])).alias("hi"), z["hit"].alias("hit"), F.lit(loose).alias("loose")))).alias("out"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_MATCH}>").alias("out"))
-    return F.coalesce(F.aggregate(pairs, start, step, lambda acc: acc["out"]), empty)
+    pairs = F.zip_with(pieces, F.concat(hits, F.array(F.lit(None).cast("string"))), lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
+
+    def placed(pairs: Column) -> Column:
+        sizes = F.transform(pairs, lambda z: F.length(z["piece"]) + F.coalesce(F.length(z["hit"]), F.lit(0)))
+        after = F.concat(F.slice(F.transform(pairs, lambda z: F.left(z["piece"], F.lit(1))), F.lit(2), F.greatest(F.size(pairs) - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+        of = lambda z: F.struct(
+            (z["at"] + F.length(z["pair"]["piece"])).alias("lo"),
+            (z["at"] + F.length(z["pair"]["piece"]) + F.length(z["pair"]["hit"])).alias("hi"),
+            z["pair"]["hit"].alias("hit"),
+            F.lit(loose).alias("loose"),
+            F.right(z["pair"]["piece"], F.lit(CONTEXT)).alias("before"),
+            F.right(z["pair"]["piece"], F.lit(1)).alias("left"),
+            z["after"].alias("right"),
+        )
+        zipped = F.arrays_zip(pairs.alias("pair"), _earlier(sizes, lambda a, b: a + b).alias("at"), after.alias("after"))
+        return F.transform(F.filter(zipped, lambda z: z["pair"]["hit"].isNotNull()), of)
+
+    return F.coalesce(_let(pairs, placed), F.lit(None).cast(f"array<{_MATCH}>"))
 
 
 def _digits(hit: Column) -> Column:
@@ -132,11 +169,9 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _votes(kind: str, m: Column, text: Column, base: int) -> dict[str, Column]:
+def _votes(kind: str, m: Column, base: int) -> dict[str, Column]:
     hit, digits = m["hit"], _digits(m["hit"])
-    before = F.substr(text, F.greatest(m["lo"] - CONTEXT + 1, F.lit(1)), F.least(m["lo"], F.lit(CONTEXT)))
-    left = F.substr(text, m["lo"], F.when(m["lo"] > 0, 1).otherwise(0))
-    right = F.substr(text, m["hi"] + 1, F.lit(1))
+    before, left, right = m["before"], m["left"], m["right"]
     form = {
         "email": _vote(hit.rlike("\\.[A-Za-z]{2,24}$"), hit.rlike("^[._%+-]|\\.\\.|-$|\\.[0-9]+$")),
         "ip": _vote(~hit.rlike("(?:^|[.:])0[0-9]"), hit.rlike("(?:^|\\.)0[0-9]")),
@@ -162,25 +197,36 @@ def _votes(kind: str, m: Column, text: Column, base: int) -> dict[str, Column]:
 def _labelled(kind: str) -> Column:
     """The candidates of a kind, looser ones apart from base ones, and the counterexamples, with their votes."""
     base, loose = F.col(f"_{kind}")["base"], F.col(f"_{kind}")["loose"]
-    apart = F.filter(loose, lambda m: ~F.exists(base, lambda b: (b["lo"] < m["hi"]) & (m["lo"] < b["hi"])))
+    meets = lambda b, m: (b["lo"] < m["hi"]) & (m["lo"] < b["hi"])
+    ranges = F.transform(_blocks(base), lambda block: F.struct(F.element_at(block, 1)["lo"].alias("lo"), F.element_at(block, -1)["hi"].alias("hi"), block.alias("block")))
+    apart_from = lambda ranges: F.filter(loose, lambda m: ~F.exists(ranges, lambda r: meets(r, m) & F.exists(r["block"], lambda b: meets(b, m))))
+    apart = F.when((F.size(base) > 0) & (F.size(loose) > 0), _let(ranges, apart_from)).otherwise(loose)
 
     def labelled(m: Column, base_vote: int = 1) -> Column:
-        votes = _votes(kind, m, F.col("text"), base_vote)
+        votes = _votes(kind, m, base_vote)
         return F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["lo"].alias("lo"), m["hi"].alias("hi"), m["loose"].alias("loose"), F.array(*[votes[v] for v in LABELERS]).alias("votes"))
 
     return F.concat(F.transform(F.concat(base, apart), lambda m: labelled(m)), F.transform(F.col(f"_{kind}")["failed"], lambda m: labelled(m, -1)))
 
 
+def _kept(docs: DataFrame, keep: list[Column] | None, taken: list[str]) -> tuple[list[Column], list[str]]:
+    """The columns of ``keep`` under names of no other meaning, and their names."""
+    names = docs.select(*keep).columns if keep else []
+    if len({*names, *taken}) < len(names) + len(taken):
+        raise ValueError(f"names of columns to keep: {names} must differ from each other and from {taken}")
+    return [c.alias(f"_keep_{i}") for i, c in enumerate(keep or [])], names
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None, failed: bool = False) -> DataFrame:
     """``doc_id, text, found``: all candidates as an array of structs (kind, lo, hi, loose, votes), ordered by kind and place.
 
-    With ``failed`` the counterexamples too; the pattern labeler votes -1 on them.
+    With ``failed`` the counterexamples too; the pattern labeler votes -1 on them. Columns of ``keep`` follow.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(keep or []))
-    extra = rows.columns[2:]
+    kept, names = _kept(docs, keep, ["doc_id", "text", "found"])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *kept)
     rows = rows.select("*", *[_found(F.col("text"), k, failed).alias(f"_{k}") for k in KINDS])
     lists = [_labelled(kind) for kind in KINDS]
-    return rows.select("doc_id", "text", F.concat(*lists).alias("found"), *extra)
+    return rows.select("doc_id", "text", F.concat(*lists).alias("found"), *[F.col(f"_keep_{i}").alias(n) for i, n in enumerate(names)])
 
 
 @dataclass
@@ -285,9 +331,11 @@ def detect(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id",
     """``doc_id, text, spans`` for every row: spans (kind, lo, hi, loose, score) in code points, end exclusive, by kind and start.
 
     Without a model one is fitted on all candidates of ``docs``. Defined cases: a null text counts as empty; spans of
-    different kinds may overlap; repeated rows each get a row; an empty input gives none; other columns are ignored but for ``keep``.
+    different kinds may overlap; repeated rows each get a row; an empty input gives none; other columns are ignored but for ``keep``, whose names must not be those above. A text of very many
+    spans takes time in proportion to its length and to the number of spans to the power 1.5 at most.
     """
-    found = candidates(docs, id_col, text_col, keep)
+    kept, names = _kept(docs, keep, ["doc_id", "text", "spans"])
+    found = candidates(docs, id_col, text_col, kept)
     if model is None:
         model = fit(candidates(docs, id_col, text_col, failed=True))
     weights = F.array(*[F.array(*[F.lit(float(w)) for w in model.weights[k]]) for k in KINDS])
@@ -300,8 +348,7 @@ def detect(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id",
         return F.struct(m["kind"].alias("rank"), m["lo"].alias("lo"), m["hi"].alias("hi"), F.element_at(kinds, m["kind"] + 1).alias("kind"), m["loose"].alias("loose"), (1 / (1 + F.exp(-logit))).alias("score"))
 
     spans = F.sort_array(F.filter(F.transform("found", scored), lambda s: ~s["loose"] | (s["score"] >= SURE)))
-    extra = found.columns[3:]
-    return found.select("doc_id", "text", spans.alias("spans"), *extra)
+    return found.select("doc_id", "text", spans.alias("spans"), *[F.col(f"_keep_{i}").alias(n) for i, n in enumerate(names)])
 
 
 def joined(spans: Column) -> Column:
@@ -312,9 +359,22 @@ def joined(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span (overlapping ones together) replaced by its kind in brackets."""
     order = F.sort_array(F.transform(spans, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), s["kind"].alias("kind"))))
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["hi"]).alias("at"),
-        F.when(s["lo"] >= acc["at"], F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["lo"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out"),
-    )
-    whole = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+    def cut(blocks: Column, lo: Column, hi: Column) -> Column:
+        """Characters from ``lo`` to ``hi``, from the blocks that hold them."""
+        first, last = F.floor(lo / CUT).cast("int"), F.floor((hi - 1) / CUT).cast("int")
+        whole = F.when(first == last, F.element_at(blocks, first + 1)).otherwise(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""))
+        return F.when(hi > lo, F.substr(whole, lo - first * CUT + 1, hi - lo)).otherwise("")
+
+    def over(z: Column) -> Column:
+        """Spans in order with the end of all before: each that starts behind that end, and those reaching beyond it, cut the text."""
+        outer = F.filter(F.arrays_zip(z["s"].alias("s"), _earlier(F.transform(z["s"], lambda s: s["hi"]), F.greatest).alias("end")), lambda x: x["s"]["lo"] >= x["end"])
+        length = F.length(text)
+        ends = F.concat(F.transform(outer, lambda x: x["end"]), F.array(F.aggregate(z["s"], F.lit(0), lambda a, s: F.greatest(a, s["hi"]))))
+        starts = F.concat(F.transform(outer, lambda x: x["s"]["lo"]), F.array(length))
+        marks = F.concat(F.transform(outer, lambda x: F.concat(F.lit("["), F.upper(x["s"]["kind"]), F.lit("]"))), F.array(F.lit("")))
+        parts = F.transform(F.arrays_zip(ends.alias("lo"), starts.alias("hi"), marks.alias("mark")), lambda p: F.concat(cut(z["b"], p["lo"], p["hi"]), p["mark"]))
+        return F.array_join(parts, "")
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, _let(F.struct(order.alias("s"), blocks.alias("b")), over)).otherwise(text)
