@@ -2,12 +2,13 @@
 
 Base rules count words, symbols, repeated lines and words in repeated five-word windows. The method compares
 a document's histograms with references of its language by the Jensen-Shannon distance: the classes of its
-characters, and its most common words. Guards leave short texts to the base rules.
+characters, and its most common words. Guards leave short texts, and texts whose language has no reference, to the base rules.
 
-References are learned from a bounded sample of labelled rows (``sample_docs``); everything else covers each row alone.
+References are counted over all labelled rows; everything else covers each row alone.
 
-Scale: after the sample no shuffle and nothing that grows is broadcast; windows are compared inside a row by sorting hashes,
-so a long text costs n log n.
+Scale: counts are added up before they are shuffled, by language and by language and word. What comes to the driver and returns
+in the plan is one reference a language, with at most 1 / ``LEAST_SHARE`` words whatever the number of documents. Windows are
+compared inside a row by sorting hashes, so a long text costs n log n.
 """
 
 from __future__ import annotations
@@ -16,22 +17,17 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: Labelled rows that references are learned from, at most (those with the smallest hash of their id).
-SAMPLE_DOCS = 4000
-#: A language's common words: the most frequent words with a letter, as many as make up this share of its words, within these bounds.
-#: A text that holds none of them is then 0.346 or more away, beyond ``MAX_WORD_DISTANCE``.
+#: A language's common words: the most frequent words with a letter, as many as make up this share of its words and this many at
+#: least, of those with this share or more each. A text that holds none of them is then 0.346 or more away, beyond ``MAX_WORD_DISTANCE``.
 COMMON_SHARE = 0.22
 COMMON_WORDS = 24
-MOST_COMMON_WORDS = 512
-#: Languages with a reference (those with the most labelled rows in the sample).
-LANGUAGES = 32
-#: A language needs so many rows in the sample for a reference.
-MIN_ROWS = 20
+LEAST_SHARE = 0.0005
+#: Guard: words that a language's labelled rows must hold for a reference.
+MIN_REFERENCE_WORDS = 1000
 #: Guards: characters and words from which the histograms are compared.
 MIN_CHARS = 200
 MIN_WORDS = 60
@@ -43,6 +39,7 @@ _WHITE = " \t\n\u000b\f\r"
 _WORD = "[^\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = ".,;:!?'\"()-"
+_OUT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
 _CLASSES = ["lower", "upper", "digit", "white", "punctuation", "symbol", "other"]
 
 
@@ -109,29 +106,25 @@ def base_rules(docs: DataFrame, text_col: str = "text", common: list[str] | None
     )
 
 
-def learn_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> dict[str, Reference]:
-    """References from at most ``sample_docs`` rows with a text and a language. No such rows: no references."""
-    # chosen by ids alone, so that no texts are gathered to be ordered
-    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and doc_id is not null")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("doc_id").distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sample = written(rows.join(F.broadcast(chosen), "doc_id", "left_semi"), "quality-sample")
+def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, Reference]:
+    """References from all rows with a text and a language; languages of fewer than ``MIN_REFERENCE_WORDS`` words have none."""
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     text = F.col("text")
     classes = _class_counts(text, _count(text, _WHITE), _count(text, SYMBOLS))
-    counts = sample.groupBy("lang").agg(F.count("*").alias("rows"), *[F.sum(c).alias(n) for c, n in zip(classes, _CLASSES, strict=True)])
-    found: dict[str, Reference] = {}
-    for r in counts.where(F.col("rows") >= MIN_ROWS).orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect():
-        total = sum(r[c] for c in _CLASSES)
-        if total:
-            found[r["lang"]] = Reference([r[c] / total for c in _CLASSES])
-    words = sample.select("lang", F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("word"))
-    by_word = words.groupBy("lang", "word").count().withColumn("total", F.sum("count").over(W.partitionBy("lang")))
-    lettered = by_word.where(F.col("word").rlike("\\p{L}"))  # signs are the classes' matter
-    top = lettered.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= MOST_COMMON_WORDS)
-    for r in top.orderBy("lang", "rank").collect():  # MOST_COMMON_WORDS a language
-        if r["lang"] in found and (r["rank"] <= COMMON_WORDS or math.fsum(found[r["lang"]].shares) < COMMON_SHARE):
-            found[r["lang"]].words.append(r["word"])
-            found[r["lang"]].shares.append(r["count"] / r["total"])
+    counts = {r["lang"]: [r[c] for c in _CLASSES] for r in rows.groupBy("lang").agg(*[F.sum(c).alias(n) for c, n in zip(classes, _CLASSES, strict=True)]).collect()}
+    by_word = written(rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("word")).groupBy("lang", "word").count(), "quality-words")
+    totals = {r["lang"]: r["n"] for r in by_word.groupBy("lang").agg(F.sum("count").alias("n")).where(F.col("n") >= MIN_REFERENCE_WORDS).collect()}
+    if not totals:
+        return {}
+    least = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, LEAST_SHARE * n)])
+    found = {lang: Reference([c / sum(counts[lang]) for c in counts[lang]]) for lang in sorted(totals)}
+    # words with a letter (signs are the classes' matter), 1 / LEAST_SHARE a language at most
+    common = by_word.where(F.col("count") >= least[F.col("lang")]).where(F.col("word").rlike("\\p{L}")).collect()
+    for r in sorted(common, key=lambda r: (-r["count"], r["word"])):
+        own = found[r["lang"]]
+        if len(own.words) < COMMON_WORDS or math.fsum(own.shares) < COMMON_SHARE:
+            own.words.append(r["word"])
+            own.shares.append(r["count"] / totals[r["lang"]])
     return found
 
 
@@ -160,19 +153,23 @@ def quality(docs: DataFrame, references: dict[str, Reference], id_col: str = "do
     ``kept`` is false where a base rule fails or a distance exceeds its bound. Distances are null under their guard, and
     without references; such a row is judged by the other rules.
 
-    Defined cases: a null text has no words, so the base rule fails; a null or unknown language is compared with the
-    nearest reference; repeated rows each get a row; an empty input gives none; other columns are ignored but for ``keep``.
+    Defined cases: a null text has no words, so the base rule fails; a null language, or one without a reference, leaves a row
+    to the base rules; repeated rows each get a row; an empty input gives none; other columns are ignored but for ``keep``, whose
+    names must not be those above.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"), *(keep or []))
-    extra = rows.columns[3:]
+    names = docs.select(*keep).columns if keep else []
+    if len({*names, *_OUT}) < len(names) + len(_OUT):
+        raise ValueError(f"names of columns to keep: {names} must differ from each other and from {_OUT}")
+    kept = [c.alias(f"_keep_{i}") for i, c in enumerate(keep or [])]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"), *kept)
+    extra = [F.col(f"_keep_{i}").alias(n) for i, n in enumerate(names)]
     rows = base_rules(rows, common=sorted({w for r in references.values() for w in r.words}))
     none = F.lit(None).cast("double")
     if references:
         size = F.greatest(F.length("text"), F.lit(1))
         rows = rows.withColumn("_chars", F.array(*[c / size for c in _class_counts(F.col("text"), F.length("text") - F.col("word_chars"), F.col("n_symbols"))]))
         own = F.filter(_literal(references), lambda r: F.coalesce(r["lang"] == F.col("lang"), F.lit(False)))
-        # the row's language, or every reference where its language has none
-        rows = rows.withColumn("_own", own).withColumn("_refs", F.when(F.size("_own") > 0, F.col("_own")).otherwise(_literal(references)))
+        rows = rows.withColumn("_refs", own)  # of the row's language, or none
 
         def word_distance(r: Column) -> Column:
             shares = F.transform(r["words"], lambda w: (F.size("_common") - F.size(F.array_remove("_common", w))) / F.col("n_words"))
@@ -185,6 +182,4 @@ def quality(docs: DataFrame, references: dict[str, Reference], id_col: str = "do
     else:
         rows = rows.withColumn("char_distance", none).withColumn("word_distance", none)
     far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
-    return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "char_distance", "word_distance", *extra
-    )
+    return rows.withColumn("kept", ~F.col("base_failed") & ~far).select(*_OUT, *extra)
