@@ -66,3 +66,33 @@ def test_documents_without_letters_go(spark):
     data = [(1, "one two three"), (2, "12 34"), (3, None), (4, "")]
     docs = spark.createDataFrame(data, "doc_id long, text string").select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
     assert [r.doc_id for r in stage("language_id")(spark, docs, "").collect()] == [1]
+
+
+def test_rows_are_told_apart_by_more_than_their_ids(spark):
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(3, near), (5, near + " more"), (5, "an unrelated text of the same id"), (7, near + " more"), (None, near + " less"), (None, "nothing like the others at all"), (None, None), (None, ""), (9, "an unrelated text of the same id")]
+    rows += [(None, f"own text {i} of a row without id {i * 7} {i * 11} {i * 13}") for i in range(10000)]
+    docs = spark.createDataFrame([(*r, "en", "s", i) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    second = stage("exact_dedup")(spark, docs, "")
+    assert second.columns == corpus_pipeline.COLUMNS
+    few = [(r.doc_id, r.text) for r in second.where("text is null or text not like 'own text%'").collect()]
+    assert second.count() == 10000 + len(few)
+    assert len([x for x in few if not x[1]]) == 1
+    assert {x for x in few if x[1]} == {(3, near), (5, near + " more"), (5, rows[2][1]), (None, near + " less"), (None, rows[5][1])}
+    third = stage("near_dedup")(spark, docs, "")
+    left = [(r.doc_id, r.text) for r in third.where("text is null or text not like 'own text%'").collect()]
+    assert sorted(left, key=repr) == sorted([(3, near), (5, rows[2][1]), (None, rows[5][1]), (None, None), (None, "")], key=repr)
+    assert third.count() == 10000 + len(left)
+
+
+def test_scratch_of_a_stage_is_cleared(spark, sf_dir):
+    import os
+
+    from lakeloom.llm import common
+
+    mark = common.scratch_mark()
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    left = [p for p in common._scratch_paths[mark:] if os.path.exists(p.removeprefix("file://"))]
+    assert len(left) == len(common._scratch_paths[mark:]) <= len(corpus_pipeline.STAGES) + 1
+    common.clear_scratch(mark)
+    assert not any(os.path.exists(p.removeprefix("file://")) for p in left)
