@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +98,11 @@ def flat_gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
     return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def crc_text(id_col: str) -> Column:
     """crc32 of an id written as text."""
     return F.crc32(F.col(id_col).cast("string").cast("binary"))

@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 KINDS = ["email", "ip", "card", "phone"]
 
 # The base patterns. A match starts where a run of its first characters starts or where the last match ended, which is
@@ -74,11 +76,6 @@ MOST_LOOSE = 0.5
 _MATCH = "struct<lo: int, hi: int, hit: string, loose: boolean, before: string, left: string, right: string>"
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _blocks(items: Column) -> Column:
     """An array cut into arrays of at most ``BLOCK`` elements."""
     of = lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK))
@@ -91,7 +88,7 @@ def _earlier(numbers: Column, merge) -> Column:
     step = lambda s, x: F.struct(merge(s["acc"], x).alias("acc"), F.concat(s["out"], F.array(s["acc"])).alias("out"))
     inner = F.transform(_blocks(numbers), lambda block: F.aggregate(block, start, step))
     offsets = lambda done: F.aggregate(F.transform(done, lambda d: d["acc"]), start, step)["out"]
-    return _let(inner, lambda done: F.flatten(F.zip_with(done, offsets(done), lambda d, o: F.transform(d["out"], lambda x: merge(o, x)))))
+    return let(inner, lambda done: F.flatten(F.zip_with(done, offsets(done), lambda d, o: F.transform(d["out"], lambda x: merge(o, x)))))
 
 
 def _matches(text: Column, pattern: str, loose: bool) -> Column:
@@ -114,7 +111,7 @@ def _matches(text: Column, pattern: str, loose: bool) -> Column:
         zipped = F.arrays_zip(pairs.alias("pair"), _earlier(sizes, lambda a, b: a + b).alias("at"), after.alias("after"))
         return F.transform(F.filter(zipped, lambda z: z["pair"]["hit"].isNotNull()), of)
 
-    return F.coalesce(_let(pairs, placed), F.lit(None).cast(f"array<{_MATCH}>"))
+    return F.coalesce(let(pairs, placed), F.lit(None).cast(f"array<{_MATCH}>"))
 
 
 def _digits(hit: Column) -> Column:
@@ -200,7 +197,7 @@ def _labelled(kind: str) -> Column:
     meets = lambda b, m: (b["lo"] < m["hi"]) & (m["lo"] < b["hi"])
     ranges = F.transform(_blocks(base), lambda block: F.struct(F.element_at(block, 1)["lo"].alias("lo"), F.element_at(block, -1)["hi"].alias("hi"), block.alias("block")))
     apart_from = lambda ranges: F.filter(loose, lambda m: ~F.exists(ranges, lambda r: meets(r, m) & F.exists(r["block"], lambda b: meets(b, m))))
-    apart = F.when((F.size(base) > 0) & (F.size(loose) > 0), _let(ranges, apart_from)).otherwise(loose)
+    apart = F.when((F.size(base) > 0) & (F.size(loose) > 0), let(ranges, apart_from)).otherwise(loose)
 
     def labelled(m: Column, base_vote: int = 1) -> Column:
         votes = _votes(kind, m, base_vote)
@@ -377,4 +374,4 @@ def redacted(text: Column, spans: Column) -> Column:
         return F.array_join(parts, "")
 
     blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
-    return F.when(F.size(spans) > 0, _let(F.struct(order.alias("s"), blocks.alias("b")), over)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.struct(order.alias("s"), blocks.alias("b")), over)).otherwise(text)

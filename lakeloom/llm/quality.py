@@ -8,7 +8,8 @@ References are counted over all labelled rows; everything else covers each row a
 
 Scale: counts are added up before they are shuffled, by language and by language and word. What comes to the driver and returns
 in the plan is one reference a language, with at most 1 / ``LEAST_SHARE`` words whatever the number of documents. Windows are
-compared inside a row by sorting hashes, so a long text costs n log n.
+compared inside a row by sorting 64-bit hashes of their words' hashes, so a long text costs n log n; that two different windows of
+one text have equal hashes (a chance of about 1 in 10^13 for a text of a thousand words) is not told apart.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import let, written
 
 #: A language's common words: the most frequent words with a letter, as many as make up this share of its words and this many at
 #: least, of those with this share or more each. A text that holds none of them is then 0.346 or more away, beyond ``MAX_WORD_DISTANCE``.
@@ -78,9 +79,9 @@ def base_rules(docs: DataFrame, text_col: str = "text", common: list[str] | None
     rows = docs.withColumn("_words", F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(_WORD[:-1]))
     rows = rows.withColumn("_lines", lines).withColumn("n_words", F.size("_words").cast("long"))
-    shifted = [F.expr(f"slice(_words, {k}, greatest(size(_words) - {k - 1}, 0))").alias(f"w{k}") for k in range(1, 6)]
-    grams = F.transform(F.slice(F.arrays_zip(*shifted), F.lit(1), F.greatest(F.size("_words") - 4, F.lit(0))), lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(1, 6)]))
-    rows = rows.withColumn("_grams", grams)
+    # each word is hashed once, also where a filter on the result makes the optimizer write this out in place
+    windows = lambda h: F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - 4, F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, 5)]))
+    rows = rows.withColumn("_grams", let(F.transform("_words", lambda w: F.xxhash64(w)), windows))
     rows = rows.withColumn("_sorted", F.when(F.size(F.array_distinct("_grams")) < F.size("_grams"), F.sort_array(F.transform("_grams", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     near = F.arrays_zip(
         F.col("_sorted").alias("own"),
@@ -109,11 +110,15 @@ def base_rules(docs: DataFrame, text_col: str = "text", common: list[str] | None
 def learn_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, Reference]:
     """References from all rows with a text and a language; languages of fewer than ``MIN_REFERENCE_WORDS`` words have none."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    text = F.col("text")
-    classes = _class_counts(text, _count(text, _WHITE), _count(text, SYMBOLS))
-    counts = {r["lang"]: [r[c] for c in _CLASSES] for r in rows.groupBy("lang").agg(*[F.sum(c).alias(n) for c, n in zip(classes, _CLASSES, strict=True)]).collect()}
+    chars = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
     by_word = written(rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("word")).groupBy("lang", "word").count(), "quality-words")
-    totals = {r["lang"]: r["n"] for r in by_word.groupBy("lang").agg(F.sum("count").alias("n")).where(F.col("n") >= MIN_REFERENCE_WORDS).collect()}
+    # the characters of all texts are those of their words, each as often as its word, and white space
+    word, times = F.col("word"), F.col("count")
+    classes = _class_counts(word, F.lit(0), _count(word, SYMBOLS))
+    summed = by_word.groupBy("lang").agg(F.sum("count").alias("n"), *[F.sum(times * c).alias(n) for c, n in zip(classes, _CLASSES, strict=True)]).where(F.col("n") >= MIN_REFERENCE_WORDS).collect()
+    totals, counts = {r["lang"]: r["n"] for r in summed}, {}
+    for r in summed:
+        counts[r["lang"]] = [r[c] if c != "white" else chars[r["lang"]] - sum(r[k] for k in _CLASSES) for c in _CLASSES]
     if not totals:
         return {}
     least = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, LEAST_SHARE * n)])

@@ -18,6 +18,7 @@ Scale: no shuffle; memory is bounded by the chunk of text and by the cap on reme
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -177,6 +178,19 @@ def encode_pieces(vocab: WordVocabulary, pieces: list[bytes]) -> tuple[np.ndarra
     return symbol[alive], np.bincount(piece[alive], minlength=sizes.size)
 
 
+class _Numbers(dict):
+    """Piece -> its number; pieces that were not known are numbered and listed as ``fresh``."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.fresh.append(piece)
+        return number
+
+
 class WordEncoder:
     """Whole texts to ids. ``pieces_encoder`` maps a list of pieces to (ids, counts); pieces are remembered.
 
@@ -193,24 +207,25 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._known: dict[str, int] = {}
+        self._known = _Numbers()
         self._flat = np.zeros(1 << 16, np.uint32)
         self._used = 0
         self._start = np.zeros(0, np.int64)
         self._size = np.zeros(0, np.int64)
         if self._special:
             for token, i in self.vocab.special.items():
-                self._learn([token], np.array([i]), np.array([1]))
+                self._known[token]
+                self._learn(np.array([i]), np.array([1]))
 
-    def _learn(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+    def _learn(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """The ids of the fresh pieces, in the order of their numbers."""
         need = self._used + ids.size
         if need > self._flat.size:
             self._flat = np.concatenate([self._flat[: self._used], np.zeros(max(need, 2 * self._flat.size) - self._used, np.uint32)])
         self._flat[self._used : need] = ids
         self._start = np.append(self._start, self._used + np.cumsum(counts) - counts)
         self._size = np.append(self._size, counts)
-        known = len(self._known)
-        self._known.update(zip(pieces, range(known, known + len(pieces)), strict=True))
+        self._known.fresh.clear()
         self._used = need
 
     def _ordinary(self, text: str) -> list[str]:
@@ -250,16 +265,14 @@ class WordEncoder:
 
     def _known_pieces(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the texts' pieces one after another, and the text each belongs to."""
-        parts = [self.pieces(t) for t in texts]
         if len(self._known) > MAX_KNOWN:
             self._forget()
-        fresh = list(set().union(*parts).difference(self._known)) if parts else []
-        if fresh:
-            self._learn(fresh, *self._encode(fresh))
-        total = sum(map(len, parts))
-        get = self._known.__getitem__
-        which = np.fromiter((i for p in parts for i in map(get, p)), np.int64, total)
-        return which, np.array([len(p) for p in parts], np.int64)
+        parts = [self.pieces(t) for t in texts]
+        sizes = np.array([len(p) for p in parts], np.int64)
+        which = np.fromiter(map(self._known.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        if self._known.fresh:
+            self._learn(*self._encode(self._known.fresh))
+        return which, sizes
 
     def _sizes(self, which: np.ndarray, pieces: np.ndarray) -> np.ndarray:
         upto = np.r_[0, np.cumsum(self._size[which])]
