@@ -38,7 +38,7 @@ def fill_forward(x: Column, keys: list[str], order: list[str]) -> Column:
 
 
 def fill_backward(x: Column, keys: list[str], order: list[str]) -> Column:
-    return F.first(x, ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(0, W.unboundedFollowing))
+    return F.last(x, ignorenulls=True).over(upto(keys, [F.col(c).desc() for c in order]))
 
 
 def average_rank(x: Column, keys: list[str]) -> Column:
@@ -60,18 +60,25 @@ def zscore(x: Column, keys: list[str]) -> Column:
     return F.when(sd > 0, (x - F.avg(x).over(w)) / sd)
 
 
-def nearest_quantile(x: Column, q: float, keys: list[str]) -> Column:
-    """The value whose place is nearest to q (halves upwards), over a partition of bounded size such as one date."""
-    values = F.sort_array(F.collect_list(x).over(W.partitionBy(*keys)))
+def nearest_quantile(x: Column, q: float) -> Column:
+    """An aggregate: the value whose place is nearest to q (halves upwards), of groups of bounded size such as one date."""
+    values = F.sort_array(F.collect_list(x))
     return F.get(values, F.floor((F.size(values) - 1) * F.lit(q) + 0.5).cast("int"))
 
 
-def winsorize(x: Column, q: float, keys: list[str]) -> Column:
-    """x pulled to the q and 1 - q quantiles of its partition; q = 0 leaves it."""
+def winsorized(df: DataFrame, columns: list[str], q: float, keys: list[str]) -> DataFrame:
+    """The columns pulled to the q and 1 - q quantiles of their group; q = 0 leaves them. One sort a group, then a join on it."""
     if q <= 0:
-        return x
-    lo, hi = nearest_quantile(x, q, keys), nearest_quantile(x, 1 - q, keys)
-    return F.when(x.isNotNull(), F.least(F.greatest(x, lo), hi))
+        return df
+    bounds = df.groupBy(*keys).agg(*[nearest_quantile(F.col(c), p).alias(f"_{side}_{c}") for c in columns for side, p in (("lo", q), ("hi", 1 - q))])
+    same = [F.col(f"_key_{k}").eqNullSafe(F.col(k)) for k in keys]
+    for k in keys:
+        bounds = bounds.withColumnRenamed(k, f"_key_{k}")
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    pulled = {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_lo_{c}")), F.col(f"_hi_{c}"))) for c in columns}
+    return df.join(bounds, condition).select(*[pulled.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
 def run_ids(changed: Column, keys: list[str], order: list[str]) -> Column:

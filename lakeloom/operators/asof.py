@@ -1,7 +1,7 @@
 """As-of and validity-window joins.
 
-The right rows are unioned under the left ones and carried forward (or backward) along the time axis by a window, so
-the cost is one sort of both sides, never the pairs. Each right row travels as one struct, so its null columns survive.
+The right rows are unioned under the left ones and carried along the time axis by a window that runs forward (or, for
+the row after, from the end backward), so the cost is a sort of both sides and one running value, never the pairs. Each right row travels as one struct, so its null columns survive.
 """
 
 from __future__ import annotations
@@ -54,10 +54,11 @@ def asof_join(
         # at equal times the right rows stand where the left row sees them, or past it when strict
         right_first = (direction == "backward") != strict
         side = F.when(is_left, 1 if right_first else 0).otherwise(0 if right_first else 1)
-        w = W.partitionBy(*by).orderBy(F.col("_t").asc_nulls_last(), side, F.col("_tie").asc_nulls_first())
         if direction == "backward":
-            return F.last("_r", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-        return F.first("_r", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+            w = W.partitionBy(*by).orderBy(F.col("_t").asc_nulls_last(), side, F.col("_tie").asc_nulls_first())
+        else:  # the same order reversed: a running value either way, where a frame that shrinks would be read anew for each row
+            w = W.partitionBy(*by).orderBy(F.col("_t").desc_nulls_first(), side.desc(), F.col("_tie").desc_nulls_last())
+        return F.last("_r", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
 
     if strategy == "nearest":
         both = both.withColumn("_b", seen("backward")).withColumn("_f", seen("forward"))

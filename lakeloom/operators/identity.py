@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -130,16 +131,47 @@ def link_candidates(segments: DataFrame, closes: DataFrame, overrides: DataFrame
     return edges
 
 
+LINK_ORDER = ["override", "figi", "share_class_figi", "gap", "handoff"]
+
+
+def _without_blocked(edges: DataFrame, blocked: DataFrame, components: DataFrame) -> DataFrame:
+    """``node, component``, with the components that hold a blocked pair put together anew, link by link."""
+    of = lambda end: components.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    both = blocked.join(of("src"), "src").join(of("dst"), "dst").where("_src = _dst").select(F.col("_src").alias("component"), "src", "dst", F.lit(-1).alias("place")).distinct()
+    held = both.select("component").distinct()
+    place = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in LINK_ORDER]), F.col("reason")), F.lit(99)).cast("int") if "reason" in edges.columns else F.lit(0)
+    links = edges.withColumn("place", place).join(of("src"), "src").select(F.col("_src").alias("component"), "src", "dst", "place").join(held, "component")
+
+    def put_together(rows: pd.DataFrame) -> pd.DataFrame:
+        root = {n: n for n in {*rows.src, *rows.dst}}
+        apart = {n: {n} for n in root}
+        never = {(a, b) for a, b, p in zip(rows.src, rows.dst, rows.place, strict=True) if p < 0}
+        for _, a, b in sorted((p, min(a, b), max(a, b)) for a, b, p in zip(rows.src, rows.dst, rows.place, strict=True) if p >= 0):
+            a, b = sorted((root[a], root[b]))
+            if a != b and not any((x, y) in never or (y, x) in never for x in apart[a] for y in apart[b]):
+                for n in apart[b]:
+                    root[n] = a
+                apart[a] |= apart.pop(b)
+        return pd.DataFrame({"node": list(root), "component": list(root.values())})
+
+    again = links.unionByName(both).groupBy("component").applyInPandas(put_together, "node long, component long")
+    return components.join(held, "component", "left_anti").select("node", "component").unionByName(again)
+
+
 def assign_ids(segments: DataFrame, edges: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """Segments with ``security_id``: the newest FIGI of their component, else share-class FIGI, ``CIK:``, ``SYM:``; collisions get a number.
 
-    ``blocked`` (src, dst) pairs are never linked directly.
+    ``blocked`` (src, dst) pairs are never of one security: links are taken in the order override, FIGI, share-class FIGI, gap, hand-off,
+    and one that would join two groups with a blocked pair across them is refused. Only components that hold a blocked pair are gone
+    through that way, each by itself (a component is one security's symbols).
     """
     s = segments.withColumn("node", F.xxhash64("ticker", "seg"))
     if blocked is not None:
         sym = blocked.select("src", "dst").unionByName(blocked.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         edges = edges.join(sym, ["src", "dst"], "left_anti")
     comp = connected_components(edges.select("src", "dst"))
+    if blocked is not None:
+        comp = _without_blocked(edges, sym, comp)
     s = s.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("last")))
     base = s.groupBy("component").agg(newest("figi").alias("f"), newest("share_class_figi").alias("sc"), newest("cik").alias("k"), F.max_by("ticker", "last").alias("t"), F.min("first").alias("_first"))

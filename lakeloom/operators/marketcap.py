@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import frame, rolling_median
 from .asof import asof_join, validity_join
-from .names import similarity, snap, tokens
+from .names import MATCH, similarity, snap, tokens
 
 STALE_DAYS, DV_WINDOW = 400, 60
 PLAUSIBLE = (10**-5.5, 3.0)
@@ -38,7 +38,7 @@ def conflicts(runs: DataFrame) -> DataFrame:
     a, b = runs.alias("a"), runs.alias("b")
     pairs = a.join(b, (F.col("a.cik") == F.col("b.cik")) & (F.col("a.security_id") < F.col("b.security_id")) & (F.col("a.first") <= F.col("b.last")) & (F.col("b.first") <= F.col("a.last")))
     score = similarity(tokens(F.get("a.names", F.lit(0))), tokens(F.get("b.names", F.lit(0))))
-    return pairs.where(score < 0.5).select(F.col("a.cik").alias("cik"), F.col("a.security_id").alias("security_a"), F.col("b.security_id").alias("security_b"))
+    return pairs.where(score < MATCH).select(F.col("a.cik").alias("cik"), F.col("a.security_id").alias("security_a"), F.col("b.security_id").alias("security_b"))
 
 
 def match_names(rows: DataFrame, index: DataFrame, least: float = 0.75) -> DataFrame:
@@ -59,7 +59,7 @@ def build_cik_map(attributes: DataFrame, profiles: DataFrame, names: DataFrame,
     j = runs.join(latest, "security_id").join(known, F.col("cik") == F.col("_pc"), "left").join(own, F.col("cik") == F.col("_nc"), "left")
     by_symbol = F.coalesce(F.arrays_overlap("_tickers", "_pt"), F.lit(False))
     best = F.coalesce(F.array_max(F.transform("_names", lambda n: similarity(tokens(F.col("name")), tokens(n)))), F.lit(0.0))
-    j = j.withColumn("_ok", F.col("cik").isNotNull() & (by_symbol | (best >= 0.5)))
+    j = j.withColumn("_ok", F.col("cik").isNotNull() & (by_symbol | (best >= MATCH)))
     matched = match_names(j.where("not _ok").select("security_id", "run", "name"), names.select("cik", "name")).select("security_id", "run", "found_cik")
     j = j.join(matched, ["security_id", "run"], "left")
     status = F.when(F.col("_ok"), "verified").when(F.col("found_cik").isNotNull(), F.when(F.col("cik").isNull(), "filled").otherwise("repaired")).otherwise("rejected")

@@ -5,40 +5,72 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that say nothing about the company (legal forms and share descriptions), and spelled-out forms (fixed values).
-STOP = ["inc", "corp", "corporation", "co", "company", "ltd", "limited", "plc", "llc", "lp", "sa", "ag", "nv", "se", "the", "of", "and", "de", "class", "common", "stock", "shares", "ordinary", "holdings", "holding", "group", "trust", "new"]
-EXPAND = {"intl": "international", "natl": "national", "tech": "technology", "technologies": "technology", "pharma": "pharmaceutical", "pharmaceuticals": "pharmaceutical", "fin": "financial", "finl": "financial", "svcs": "services", "mfg": "manufacturing", "amer": "american", "bancorp": "bank", "bancshares": "bank", "labs": "laboratories", "inds": "industries", "sys": "systems"}
-GENERIC = ["american", "national", "first", "united", "general", "international", "global", "new", "us"]
+# Words without identity (legal forms, share descriptions, places), descriptions that end a name, first words that
+# prove nothing alone, spelled-out forms, and what is no common equity (by name, and more of it where the type is unknown).
+STOP = [
+    "INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "COS", "LTD", "LIMITED", "PLC", "LLC", "LP", "L", "P", "SA", "S", "A", "NV", "N", "V", "AG", "SE", "AB", "AS", "ASA", "OYJ", "SPA", "BV",
+    "THE", "OF", "AND", "DE", "DEL", "NEW", "OLD", "HOLDING", "HOLDINGS", "HLDGS", "HLDG", "GROUP", "GRP", "CLASS", "CL", "COM", "COMMON", "STOCK", "SHARES", "SHS", "SH", "ORD", "ORDINARY", "ADR", "ADS",
+    "SPONSORED", "SPON", "DEPOSITARY", "DEPOSITORY", "REPSTG", "REP", "EACH", "UNSPONSORED", "PAR", "VALUE", "USD", "NPV", "REGISTERED",
+    "NY", "MD", "NJ", "PA", "CA", "TX", "FL", "MN", "OH", "VA", "MA", "IL", "WA", "GA", "CT", "CAN", "BC", "ON", "IN", "B", "C", "I", "II", "III", "ET", "AL", "FKA", "DBA", "F", "STK", "UNIT", "UNITS", "WI",
+]
+TAIL = "\\b(SPONSORED|UNSPONSORED|AMERICAN DEPOSITARY|ADR|ADS|CLASS [A-Z]\\b|COMMON STOCK|ORDINARY SHARES|COM STK|COM UNIT|COMMON SHARES|SHARES OF BENEFICIAL).*$"
+GENERIC = ["AMERICAN", "FIRST", "UNITED", "NATIONAL", "GENERAL", "INTERNATIONAL", "NORTH", "SOUTH", "WESTERN", "EASTERN", "PACIFIC", "ATLANTIC", "GLOBAL", "US", "NEW", "CAPITAL", "CENTRAL", "SOUTHERN", "NORTHERN", "COMMUNITY", "CITIZENS", "PEOPLES", "SECURITY", "GREAT", "DOVER"]
+EXPAND = {
+    "INTL": "INTERNATIONAL", "INTERNATL": "INTERNATIONAL", "SYS": "SYSTEMS", "TECH": "TECHNOLOGIES", "TECHS": "TECHNOLOGIES", "SVCS": "SERVICES", "SVC": "SERVICE", "MGMT": "MANAGEMENT", "MGT": "MANAGEMENT",
+    "FINL": "FINANCIAL", "FIN": "FINANCIAL", "NATL": "NATIONAL", "CTR": "CENTER", "CTRS": "CENTERS", "INDS": "INDUSTRIES", "IND": "INDUSTRIES", "PHARMA": "PHARMACEUTICALS", "PPTYS": "PROPERTIES",
+    "PPTY": "PROPERTY", "RLTY": "REALTY", "COMMUN": "COMMUNICATIONS", "COMMUNS": "COMMUNICATIONS", "ENTMT": "ENTERTAINMENT", "BANCORPORATION": "BANCORP", "BK": "BANK", "MTG": "MORTGAGE",
+    "INVT": "INVESTMENT", "INVTS": "INVESTMENTS", "ELEC": "ELECTRIC", "LABS": "LABORATORIES", "LAB": "LABORATORIES", "MFG": "MANUFACTURING", "PRODS": "PRODUCTS", "PROD": "PRODUCTS", "RES": "RESOURCES",
+    "ENGR": "ENGINEERING", "DEV": "DEVELOPMENT", "SOLUTNS": "SOLUTIONS", "ASSOC": "ASSOCIATES", "AMER": "AMERICA", "GEN": "GENERAL", "MED": "MEDICAL", "HLTH": "HEALTH", "HEALTHCARE": "HEALTH", "SEMICONDUCTR": "SEMICONDUCTOR",
+}
+NOT_EQUITY = "\\b(WTS?|WARRANTS?|WT\\d|RIGHTS?|RTS|UNITS?,? EACH CONSISTING|NOTES?|NTS|DEBENTURES?|DEB|SPARQS|PERQS|TRUPS|QUIPS|TOPRS|CAP SECS|TRUST PFD|SUBORDINATED|SR NT|SENIOR NT|SENIOR NOTES?|DUE \\d|\\d+(\\.\\d+)?\\s?%|ETF|ETN|ISHARES|PROSHARES|SPDR)\\b"
+NOT_EQUITY_UNTYPED = "\\b(UNITS?|PFD|PREFERRED|PREF|SENIOR|FUND|INDEX|TRUST UNITS?|DEPOSITARY SHARES? EACH REPRESENTING)\\b"
+EQUITY_TYPES = ["CS", "ADRC", "OS", "GDR", "NYRS"]
+#: Similarity from which two names are taken for one company's.
+MATCH = 0.6
 NICE_RATIOS = [1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 16, 20, 24, 25, 30, 32, 40, 50, 60, 64, 80, 100, 120, 150, 200, 250, 300, 400, 500, 600, 800, 1000, 1500, 2000, 5000]
 
 
 def tokens(name: Column) -> Column:
-    """Lower-case words without punctuation and state tails, expanded, without stop words (unless nothing else is left)."""
-    plain = F.regexp_replace(F.lower(name), "/[a-z]{2,3}/?\\s*$|\\([^)]*\\)", " ")
-    plain = F.regexp_replace(F.regexp_replace(plain, "['.]", ""), "[^a-z0-9]+", " ")
-    words = F.filter(F.split(F.trim(plain), " +"), lambda w: w != "")
+    """Significant words of a company name in capitals, in order: tails cut, abbreviations spelled out, stop words and single letters left
+    out. Null or empty names have none."""
+    up = F.replace(F.replace(F.upper(F.coalesce(name, F.lit(""))), F.lit("&"), F.lit(" AND ")), F.lit("'"), F.lit(""))
+    head = F.regexp_replace(up, TAIL, "")
     full = F.create_map(*[F.lit(x) for kv in EXPAND.items() for x in kv])
+    words = F.regexp_extract_all(F.when(head == "", up).otherwise(head), F.lit("[A-Z0-9]+"), F.lit(0))
     words = F.transform(words, lambda w: F.coalesce(F.element_at(full, w), w))
-    rest = F.filter(words, lambda w: ~w.isin(STOP))
-    return F.when(F.size(rest) > 0, rest).otherwise(words)
+    return F.filter(words, lambda w: ~w.isin(STOP) & ~w.rlike("^[A-Z]$"))
+
+
+def _same_word(a: Column, b: Column) -> Column:
+    """Equal, or one begins the other from three letters on."""
+    return (a == b) | ((F.length(a) >= 3) & F.startswith(b, a)) | ((F.length(b) >= 3) & F.startswith(a, b))
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Shared words of two token arrays (a word also matches one that it begins, from three letters) over the larger count; 0 if only
-    a generic first word is shared."""
-    matches = lambda x, y: F.size(F.filter(x, lambda u: F.exists(y, lambda v: (u == v) | ((F.length(u) >= 3) & v.startswith(u)) | ((F.length(v) >= 3) & u.startswith(v)))))
-    n = F.least(matches(a, b), matches(b, a))
-    share = n / F.greatest(F.size(a), F.size(b), F.lit(1))
-    generic = (n == 1) & F.get(a, F.lit(0)).isin(GENERIC) & (F.get(a, F.lit(0)) == F.get(b, F.lit(0))) & (F.greatest(F.size(a), F.size(b)) > 1)
-    return F.when(generic, 0.0).otherwise(share)
+    """The share of the shorter name's words that the longer one has.
+
+    1 where the joined words are equal or, from six letters on, one begins the other. 0 where the first words differ, but for names of
+    two words or more that all match in another order; where a generic word alone is compared with a longer name; and without words.
+    """
+    ja, jb = F.array_join(a, ""), F.array_join(b, "")
+    shorter = F.size(a) <= F.size(b)
+    short, long_ = F.when(shorter, a).otherwise(b), F.when(shorter, b).otherwise(a)
+    hits = F.size(F.filter(short, lambda u: F.exists(long_, lambda v: _same_word(u, v))))
+    score = hits / F.greatest(F.size(short), F.lit(1))
+    begins = (F.least(F.length(ja), F.length(jb)) >= 6) & (F.startswith(ja, jb) | F.startswith(jb, ja))
+    reordered = (score == 1.0) & (F.size(short) >= 2)
+    first = F.coalesce(_same_word(F.get(a, F.lit(0)), F.get(b, F.lit(0))), F.lit(False))
+    generic = (F.size(short) == 1) & F.get(short, F.lit(0)).isin(GENERIC) & (F.size(long_) > 1)
+    none = (F.coalesce(F.size(a), F.lit(0)) <= 0) | (F.coalesce(F.size(b), F.lit(0)) <= 0)
+    return F.when(none, 0.0).when((ja == jb) | begins, 1.0).when(~first & ~reordered, 0.0).when(generic, 0.0).otherwise(score)
 
 
 def looks_equity(name: Column, ticker: Column, kind: Column) -> Column:
-    """Common equity by type where known; else not a warrant, right, unit, note, preferred or when-issued line by name or symbol."""
-    other = name.rlike("(?i)\\b(?:warrants?|rights?|notes? due|preferred|debentures?|% |units?)\\b") & ~name.rlike("(?i)partnership|common units|\\bL\\.?P\\.?\\b")
-    when_issued = ticker.rlike("[a-z]$")
-    by_type = kind.isin("CS", "ADRC", "OS", "GDR", "NYRS")
-    return F.when(F.coalesce(when_issued, F.lit(False)), False).when(kind.isNotNull(), by_type | ((kind == "UNIT") & name.rlike("(?i)partners|L\\.?P\\.?"))).otherwise(~F.coalesce(other, F.lit(False)))
+    """Not a when-issued symbol, and by name no warrant, right, note or fund; without an equity type no preferred, unit or index either."""
+    up = F.upper(F.coalesce(name, F.lit("")))
+    typed = F.coalesce(kind.isin(EQUITY_TYPES), F.lit(False))
+    when_issued = F.coalesce(ticker.rlike("[a-z]$"), F.lit(False))
+    return ~when_issued & ~up.rlike(NOT_EQUITY) & (typed | ~up.rlike(NOT_EQUITY_UNTYPED))
 
 
 def is_adr(name: Column, kind: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .names import similarity, tokens
+from .names import MATCH, similarity, tokens
 
 #: The order in which statuses are decided (fixed values).
 STATUSES = ["no_price", "no_trade", "contract", "small", "order_size", "participation", "not_shortable", "send"]
@@ -68,7 +68,7 @@ def record_fills(journal: DataFrame, fills: DataFrame) -> DataFrame:
     return journal.unionByName(new, allowMissingColumns=True)
 
 
-def names_match(a: Column, b: Column, least: float = 0.5) -> Column:
+def names_match(a: Column, b: Column, least: float = MATCH) -> Column:
     return F.coalesce(similarity(tokens(a), tokens(b)) >= least, F.lit(False))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, mean_of
-from ..functions.windows import decayed_mean, winsorize
+from ..functions.windows import decayed_mean, winsorized
 from .asof import asof_join
 
 WINSOR, CLIP, MAD = 0.01, 3.0, 5 * 1.4826
@@ -27,8 +27,7 @@ MIN_NAMES, MIN_OBS, SHRINK = 50, 42, 0.3
 def _standardised(df: DataFrame, column: str, cap: str, date: str) -> DataFrame:
     """Winsorised, less its cap-weighted mean, over its deviation."""
     w = W.partitionBy(date)
-    x = winsorize(F.col(column), WINSOR, [date])
-    df = df.withColumn("_x", x)
+    df = winsorized(df.withColumn("_x", F.col(column)), ["_x"], WINSOR, [date])
     mean = F.sum(F.col("_x") * F.col(cap)).over(w) / F.sum(F.when(F.col("_x").isNotNull(), F.col(cap))).over(w)
     sd = F.stddev_samp("_x").over(w)
     return df.withColumn(column, F.when(sd > 0, (F.col("_x") - mean) / sd)).drop("_x")

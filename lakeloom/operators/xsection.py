@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.windows import percentile_rank, winsorize, zscore
+from ..functions.windows import percentile_rank, winsorized, zscore
 
 
 def neutralize(df: DataFrame, column: str, date: str = "date", sector: str | None = "sector", size: str | None = "issuer_market_cap") -> DataFrame:
@@ -33,7 +33,7 @@ def transform(df: DataFrame, columns: list[str], method: str | None = "zscore",
     out = df
     for c in columns:
         if winsor:
-            out = out.withColumn(c, winsorize(F.col(c), winsor, [date]))
+            out = winsorized(out, [c], winsor, [date])
         if sector or size:
             out = neutralize(out, c, date, sector, size)
         if method == "zscore":

@@ -98,18 +98,18 @@ def _caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mc.daily(b, _counts(spark, sf_dir))
 
 
-@register("market_caps", _CAPS + " SELECT security_id, date, round(market_cap + 0.0137, 1) AS market_cap, round(dv60, 2) AS dv60 FROM caps")
+@register("market_caps", _CAPS + " SELECT security_id, date, round(market_cap, 4) AS market_cap, round(dv60, 2) AS dv60 FROM caps")
 def market_caps(spark, sf_dir):
-    return _caps(spark, sf_dir).select("security_id", "date", r(F.col("market_cap") + 0.0137, 1).alias("market_cap"), r("dv60", 2).alias("dv60"))
+    return _caps(spark, sf_dir).select("security_id", "date", r("market_cap", 4).alias("market_cap"), r("dv60", 2).alias("dv60"))
 
 
 _PANEL = _CAPS + """, panel AS (SELECT *, row_number() OVER (PARTITION BY date, cik ORDER BY dv60 DESC NULLS LAST, security_id) = 1 AS is_primary, sum(market_cap) OVER (PARTITION BY date, cik) AS issuer_market_cap FROM caps),
 ranks AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY issuer_market_cap DESC, security_id) AS rank FROM panel WHERE is_primary AND issuer_market_cap IS NOT NULL)"""
 
 
-@register("size_ranks", _PANEL + " SELECT security_id, date, round(issuer_market_cap + 0.0137, 1) AS issuer_market_cap, rank, CASE WHEN rank <= 200 THEN 'large' WHEN rank <= 1000 THEN 'mid' WHEN rank <= 3000 THEN 'small' ELSE 'micro' END AS bucket FROM ranks")
+@register("size_ranks", _PANEL + " SELECT security_id, date, round(issuer_market_cap, 4) AS issuer_market_cap, rank, CASE WHEN rank <= 200 THEN 'large' WHEN rank <= 1000 THEN 'mid' WHEN rank <= 3000 THEN 'small' ELSE 'micro' END AS bucket FROM ranks")
 def size_ranks(spark, sf_dir):
-    return mc.ranks(mc.year_panel(_caps(spark, sf_dir))).select("security_id", "date", r(F.col("issuer_market_cap") + 0.0137, 1).alias("issuer_market_cap"), "rank", "bucket")
+    return mc.ranks(mc.year_panel(_caps(spark, sf_dir))).select("security_id", "date", r("issuer_market_cap", 4).alias("issuer_market_cap"), "rank", "bucket")
 
 
 @register("size_universe", _PANEL + """, d AS (SELECT a.date, b.rank_date FROM (SELECT DISTINCT date FROM bars) a JOIN (SELECT date_trunc('month', date) + INTERVAL 1 MONTH AS m, max(date) AS rank_date FROM bars GROUP BY 1) b ON date_trunc('month', a.date) = b.m)
@@ -164,9 +164,13 @@ def linked_segments(spark, sf_dir):
     return connected_components(e)
 
 
-@register("name_tokens")
+_WORDS = "list_transform(regexp_extract_all(upper(c_name || ' ' || c_mktsegment || ' Hldgs. Inc. /DE/'), '[A-Z0-9]+'), lambda w: CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.EXPAND.items()) + " ELSE w END)"
+_STOPPED = ", ".join(f"'{w}'" for w in names.STOP)
+
+
+@register("name_tokens", f"SELECT c_custkey, array_to_string(list_filter({_WORDS}, lambda w: w NOT IN ({_STOPPED}) AND NOT regexp_full_match(w, '[A-Z]')), ' ') AS tokens FROM customer")
 def name_tokens(spark, sf_dir):
-    c = views.table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(" ", "c_name", F.lower("c_mktsegment"), F.lit("Hldgs. Inc. /DE/")).alias("name"))
+    c = views.table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(" ", "c_name", "c_mktsegment", F.lit("Hldgs. Inc. /DE/")).alias("name"))
     return c.select("c_custkey", F.concat_ws(" ", names.tokens(F.col("name"))).alias("tokens"))
 
 

@@ -135,7 +135,7 @@ def percentile_rank(spark, sf_dir):
 @register("winsorize", _SCORES + """, q AS (SELECT date, list_sort(list(x) FILTER (x IS NOT NULL)) AS v FROM s GROUP BY date)
 SELECT security_id, date, round(CASE WHEN x IS NOT NULL THEN least(greatest(x, v[CAST(floor((len(v) - 1) * 0.05 + 0.5) AS INTEGER) + 1]), v[CAST(floor((len(v) - 1) * 0.95 + 0.5) AS INTEGER) + 1]) END, 4) AS x FROM s JOIN q USING (date)""")
 def winsorize(spark, sf_dir):
-    return _scores(spark, sf_dir).select("security_id", "date", r(win.winsorize(F.col("x"), 0.05, ["date"])).alias("x"))
+    return win.winsorized(_scores(spark, sf_dir).select("security_id", "date", "x"), ["x"], 0.05, ["date"]).select("security_id", "date", r("x").alias("x"))
 
 
 @register("neutralize", _SCORES + """, a AS (SELECT *, x - avg(x) OVER (PARTITION BY date, sector) AS e FROM s), b AS (

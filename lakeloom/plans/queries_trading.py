@@ -168,10 +168,13 @@ def confirmed_splits(spark, sf_dir):
     return identity.confirmed_splits(views.splits(spark, sf_dir), views.bars(spark, sf_dir).select("security_id", "date", "close"))
 
 
-@register("equity_screen", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN false ELSE true END AS equity FROM part")
+_PART_NAME = "upper(p_name || CASE p_size % 5 WHEN 0 THEN ' warrants' WHEN 1 THEN ' Series B Pref' WHEN 2 THEN ' 5.5% due 2030' ELSE '' END)"
+
+
+@register("equity_screen", f"SELECT p_partkey, NOT regexp_matches({_PART_NAME}, '{names.NOT_EQUITY}') AND (p_partkey % 2 = 0 OR NOT regexp_matches({_PART_NAME}, '{names.NOT_EQUITY_UNTYPED}')) AS equity FROM part")
 def equity_screen(spark, sf_dir):
-    p = views.table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 3 == 0, "warrants")).alias("name"))
-    return p.select("p_partkey", names.looks_equity(F.col("name"), F.lit("X"), F.lit(None).cast("string")).alias("equity"))
+    p = views.table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 5 == 0, "warrants").when(F.col("p_size") % 5 == 1, "Series B Pref").when(F.col("p_size") % 5 == 2, "5.5% due 2030")).alias("name"))
+    return p.select("p_partkey", names.looks_equity(F.col("name"), F.lit("X"), F.when(F.col("p_partkey") % 2 == 0, "CS")).alias("equity"))
 
 
 @register("share_counts_today", f"""WITH {views.SPLITS}, c AS (SELECT DISTINCT security_id, DATE '1994-06-30' + CAST(i * 300 AS INTEGER) AS "end", 1000.0 + security_id AS shares FROM splits, range(5) t(i))

@@ -80,6 +80,16 @@ def test_identity_cases(spark):
     assert identity.overlaps(master).count() == 0
 
 
+def test_blocked_pairs_are_not_joined_over_a_third(spark):
+    segs = spark.createDataFrame([("A", 0, D(2020, 1, 1), D(2020, 2, 1), "FA"), ("B", 0, D(2020, 3, 1), D(2020, 4, 1), "FB"), ("C", 0, D(2020, 5, 1), D(2020, 6, 1), None), ("D", 0, D(2020, 7, 1), D(2020, 8, 1), None), ("E", 0, D(2021, 7, 1), D(2021, 8, 1), None)], "ticker string, seg int, first date, last date, figi string").selectExpr("*", "cast(null as string) as share_class_figi", "cast(null as string) as cik")
+    node = {r.ticker: r.n for r in segs.select("ticker", F.xxhash64("ticker", "seg").alias("n")).collect()}
+    edges = spark.createDataFrame([(node[a], node[b], why) for a, b, why in [("A", "C", "figi"), ("C", "B", "handoff"), ("B", "D", "gap"), ("A", "B", "gap")]], "src long, dst long, reason string")
+    blocked = spark.createDataFrame([(node["B"], node["A"])], "src long, dst long")
+    ids = {r.ticker: r.security_id for r in identity.assign_ids(segs, edges, blocked).collect()}
+    assert ids == {"A": "FA", "C": "FA", "B": "FB", "D": "FB", "E": "SYM:E"}
+    assert len({r.security_id for r in identity.assign_ids(segs, edges).collect()}) == 2
+
+
 def test_splits_confirmed_by_price(spark):
     closes = spark.createDataFrame([("B", D(2020, 5, 29), 20.2), ("B", D(2020, 6, 1), 10.1), ("P", D(2020, 8, 31), 60.0), ("P", D(2020, 9, 1), 60.0)], "security_id string, date date, close double")
     sp = spark.createDataFrame([("B", D(2020, 6, 1), 1.0, 2.0), ("P", D(2020, 9, 1), 1.0, 3.0)], "security_id string, execution_date date, split_from double, split_to double")
@@ -92,11 +102,16 @@ def test_splits_confirmed_by_price(spark):
 def test_names(spark):
     df = spark.createDataFrame([("International Business Machines Corp.", "Intl Business Machines Corporation /NY/"), ("American Airlines Group Inc", "American Express Co"), ("Alphabet Inc.", "Alphabet Holdings")], "a string, b string")
     got = [r[0] for r in df.select(names.similarity(names.tokens(F.col("a")), names.tokens(F.col("b")))).collect()]
-    assert got[0] == 1.0 and got[1] == 0.0 and got[2] == 1.0
+    assert got[0] == 1.0 and got[1] == 0.5 and got[2] == 1.0  # below the threshold of 0.6
+    word = lambda a, b: spark.range(1).select(names.similarity(names.tokens(F.lit(a)), names.tokens(F.lit(b)))).first()[0]
+    assert word("Hilfiger Tommy Corp", "Tommy Hilfiger") == 1.0 and word("JVSPAC Acquisition", "JV SPAC Acquisition") == 1.0 and word("First", "First Horizon") == 0.0 and word(None, "X") == 0.0 and word("AT&T Inc", "Alpha") == 0.0
+    said = lambda n: spark.range(1).select(names.tokens(F.lit(n))).first()[0]
+    assert said("Johnson & Johnson Common Stock, par $1") == ["JOHNSON", "JOHNSON"] and said("Natl Bk of O'Hara Class B") == ["NATIONAL", "BANK", "OHARA"] and said("3 M Co") == ["3"]
     ratio = lambda s: spark.range(1).select(names.adr_ratio(F.lit(s))).first()[0]
     assert ratio("X ADS, each representing two ordinary shares") == 2.0 and ratio("X ADR representing 1/10 of a share") == 0.1 and ratio("X Common Stock") is None and ratio("Y ADS representing one-half of a share") == 0.5
     eq = lambda n, t, k: spark.range(1).select(names.looks_equity(F.lit(n), F.lit(t), F.lit(k).cast("string"))).first()[0]
     assert eq("Alpha Inc", "ALPH", "CS") and not eq("Alpha Inc", "ALPHw", "CS") and not eq("Alpha Warrants", "ALPHW", None) and eq("Null Corp", "NULT", None)
+    assert not eq("Alpha Rights", "ALPHR", "CS") and not eq("Alpha 5% Notes due 2030", "A", "ADRC") and eq("Alpha Common Units", "A", "CS") and not eq("Alpha Common Units", "A", None) and eq(None, "A", None)
     snap = lambda x: spark.range(1).select(names.snap(F.lit(x))).first()[0]
     assert snap(0.21) == 0.2 and snap(1480.0) == 1500.0 and snap(1.04) == 1.0 and snap(0.0) is None
 

@@ -118,10 +118,30 @@ def test_cost_model(spark):
     df = spark.createDataFrame([(2020, 1e8, 0.02), (2025, 1e8, 0.02), (2020, 5e6, 0.04), (2020, None, 0.02), (2020, 1e12, 0.001)], "y int, adv double, vol double")
     got = [r[0] for r in df.select(fit.bps(F.col("y"), F.col("adv"), F.col("vol"))).collect()]
     want = 2 * math.exp(-0.4 * math.log(0.05) + 0.6 * math.log(2) - 0.1 * (math.log(5) - math.log(100)) + 0.15 * (0 - math.log(10)))
-    assert abs(got[0] - 2) < 1e-9 and abs(got[1] - 3) < 1e-9 and abs(got[2] - want) < 1e-9 and got[3] == 200.0 and got[4] == 0.5
+    assert abs(got[0] - 2) < 1e-9 and abs(got[1] - 3) < 1e-9 and abs(got[2] - want) < 1e-9 and got[3] is None and got[4] < 0.5
     m = costs.CostModel(fit, aum=1e8)
     c = spark.range(1).select(m.impact_cost(F.lit(0.01), F.lit(1e8), F.lit(0.02)), m.borrow_rate(F.lit(0.3)), m.borrow_rate(F.lit(None).cast("double"))).first()
     assert abs(c[0] - 0.01 * 0.02 * 0.1) < 1e-12 and c[1] == 0.03 and c[2] == 0.0025
+    cost = lambda model, adv=1e8, **kw: spark.range(1).select(model.spread_cost(F.lit(-0.5), F.lit(2020), F.lit(adv).cast("double"), F.lit(0.02), **kw)).first()[0]
+    assert abs(cost(m) - 0.5 * 3e-4) < 1e-12 and abs(cost(m, None) - 0.5 * 201e-4) < 1e-12 and abs(cost(costs.CostModel(auction=True)) - 0.5e-4) < 1e-12
+    assert abs(cost(costs.CostModel(spread="volume")) - 0.5 * 4e-4) < 1e-12 and abs(cost(costs.CostModel(spread=7.0)) - 0.5 * 8e-4) < 1e-12 and abs(cost(costs.CostModel()) - 0.5 * 4.2003e-4) < 1e-12
+    assert abs(cost(costs.CostModel(spread="estimate"), estimate=F.lit(0.0012)) - 0.5 * 13e-4) < 1e-12
+    big = spark.range(1).select(m.impact_cost(F.lit(1.0), F.lit(1e4), F.lit(0.05))).first()[0]
+    assert abs(big - 0.05 * 100) < 1e-9  # a known impact has no cap
+
+
+def test_asof_forward_and_nearest_on_one_large_key(spark):
+    import time
+
+    from lakeloom.operators.asof import asof_join
+
+    left = spark.range(50000).selectExpr("1 as k", "id * 3 as t")
+    right = spark.range(50000).selectExpr("1 as k", "id * 3 + 2 as t", "id as v")
+    began = time.time()
+    for strategy, shift in (("forward", 0), ("nearest", -1)):
+        rows = asof_join(left, right, "t", by=["k"], strategy=strategy).selectExpr("t div 3 as i", "v").collect()
+        assert all(r.v == max(r.i + shift, 0) for r in rows) and len(rows) == 50000
+    assert time.time() - began < 40
 
 
 def test_sharpe_probabilities():
