@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import flat_gather, written
+from .common import flat_gather, frugal, written
 from .segments import NO_ID, Segments, fingerprints, gathered, read_segment, shared_keys, unpack_answer
 
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -47,7 +47,7 @@ SPREAD = 64
 #: Classes of a segment, as a power of two.
 CLASS_BITS = 24
 #: Words that a worker remembers with their hashes.
-MAX_WORDS = 400_000
+MAX_WORDS = 300_000
 #: Labels of classes up to this many rows are broadcast (some 50 bytes each); beyond, the texts are shuffled to them.
 BROADCAST_LABELS = 200_000
 
@@ -376,7 +376,7 @@ def _links(sets: DataFrame, asked: DataFrame, rule: Rule, partitions: int, name:
     if asked.count() <= BROADCAST_LABELS:
         asked = F.broadcast(asked)
     dealt = sets.select("cid", "n", "prefix", "words").join(asked, "cid").select("pool", "cid", "n", "prefix", "words")
-    return written(dealt.repartition(partitions, "pool").sortWithinPartitions("pool", "cid").mapInArrow(_verify_pools(rule), "src long, dst long"), name)
+    return written(dealt.repartition(partitions, "pool").sortWithinPartitions("pool", "cid").mapInArrow(frugal(_verify_pools(rule)), "src long, dst long"), name)
 
 
 def _link_classes(sets: DataFrame, rule: Rule, partitions: int, block: int) -> DataFrame:
@@ -448,7 +448,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield from _index_segment(seg, path, blocks, rule, key)
 
         known = shared_keys(segments, _class_keys(rule, key))
-        indexed = written(segments.with_blocks(known).mapInArrow(index, _SCHEMA), "jaccard-index", compression="zstd")
+        indexed = written(segments.with_blocks(known).mapInArrow(frugal(index), _SCHEMA), "jaccard-index", compression="zstd")
         if indexed.where(f"kind = {CLASH}").isEmpty():
             break
         key = key[0] + 1, 64

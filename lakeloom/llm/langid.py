@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, only
+from .common import chunks, frugal, only
 
 DIM = 512
 SEED = 20240229
@@ -117,7 +117,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim:
         )
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where("text is not null and lang is not null").mapInArrow(run, "lang string, sums array<double>")
+    rows = rows.where("text is not null and lang is not null").mapInArrow(frugal(run), "lang string, sums array<double>")
     total = rows.select("lang", F.posexplode("sums").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     found: dict[str, list[float]] = {}
     for lang, at, x in total.collect():  # languages x dimensions
@@ -154,4 +154,4 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], id_col: str =
     rows = only(docs, id_col, text_col, None) if not keep else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
     rest = rows.drop("doc_id", "text").schema
     schema = "doc_id long, lang_pred string, score double" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)

@@ -153,13 +153,14 @@ def _loose_valid(kind: str, hit: Column) -> Column:
 
 
 def _found(text: Column, kind: str, failed: bool) -> Column:
-    """Base spans, looser ones, and with ``failed`` the base matches that are counterexamples."""
+    """``own``: the base spans and, with ``failed``, the base matches that are counterexamples, from one search; ``loose``: looser ones."""
     none = F.array().cast(f"array<{_MATCH}>")
     needs = F.contains(text, F.lit(_NEEDS[kind])) if kind in ("email", "phone") else text.rlike(_NEEDS[kind])
-    of = lambda test: F.when(needs, F.filter(_matches(text, BASE[kind], False), lambda m: test(kind, m["hit"]))).otherwise(none)
-    base = of(_valid)
+    of = lambda found, test: F.filter(found, lambda m: test(kind, m["hit"]))
+    both = lambda found: F.struct(of(found, _valid).alias("base"), (of(found, _fails) if failed else none).alias("failed"))
+    own = F.when(needs, let(_matches(text, BASE[kind], False), both)).otherwise(F.struct(none.alias("base"), none.alias("failed")))
     loose = F.when(text.rlike(_NEEDS_LOOSE[kind]), F.filter(_matches(text, LOOSE[kind], True), lambda m: _loose_valid(kind, m["hit"]))).otherwise(none)
-    return F.struct(base.alias("base"), loose.alias("loose"), (of(_fails) if failed else none).alias("failed"))
+    return F.struct(own.alias("own"), loose.alias("loose"))
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -193,7 +194,7 @@ def _votes(kind: str, m: Column, base: int) -> dict[str, Column]:
 
 def _labelled(kind: str) -> Column:
     """The candidates of a kind, looser ones apart from base ones, and the counterexamples, with their votes."""
-    base, loose = F.col(f"_{kind}")["base"], F.col(f"_{kind}")["loose"]
+    base, loose = F.col(f"_{kind}")["own"]["base"], F.col(f"_{kind}")["loose"]
     meets = lambda b, m: (b["lo"] < m["hi"]) & (m["lo"] < b["hi"])
     ranges = F.transform(_blocks(base), lambda block: F.struct(F.element_at(block, 1)["lo"].alias("lo"), F.element_at(block, -1)["hi"].alias("hi"), block.alias("block")))
     apart_from = lambda ranges: F.filter(loose, lambda m: ~F.exists(ranges, lambda r: meets(r, m) & F.exists(r["block"], lambda b: meets(b, m))))
@@ -203,7 +204,7 @@ def _labelled(kind: str) -> Column:
         votes = _votes(kind, m, base_vote)
         return F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["lo"].alias("lo"), m["hi"].alias("hi"), m["loose"].alias("loose"), F.array(*[votes[v] for v in LABELERS]).alias("votes"))
 
-    return F.concat(F.transform(F.concat(base, apart), lambda m: labelled(m)), F.transform(F.col(f"_{kind}")["failed"], lambda m: labelled(m, -1)))
+    return F.concat(F.transform(F.concat(base, apart), lambda m: labelled(m)), F.transform(F.col(f"_{kind}")["own"]["failed"], lambda m: labelled(m, -1)))
 
 
 def _kept(docs: DataFrame, keep: list[Column] | None, taken: list[str]) -> tuple[list[Column], list[str]]:

@@ -19,10 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, only, scratch, written
+from .common import chunks, frugal, only, scratch, written
 from .files import make_folder, place
 
-SEGMENT_BYTES = 32 << 20
+SEGMENT_BYTES = 16 << 20
 KEY_BYTES = 6
 #: Bytes of segments for each bucket, at most.
 BUCKET_BYTES = 256 << 20
@@ -63,7 +63,7 @@ class Segments:
                 sink.close()
                 yield closed()
 
-        listed = written(only(docs, id_col, text_col).mapInArrow(run, "seg long, path string, n_bytes long"), "segment-list")
+        listed = written(only(docs, id_col, text_col).mapInArrow(frugal(run), "seg long, path string, n_bytes long"), "segment-list")
         self.listing = listed.select("seg", "path")
         self.count, n_bytes, parts, tasks = listed.agg(F.count("*"), F.sum("n_bytes"), F.max(F.expr(f"seg & {(1 << PART_BITS) - 1}")) + 1, F.max(F.expr(f"shiftright(seg, {PART_BITS})")) + 1).first()
         #: Partitions with one segment each, if the writer's tasks made about as many each.
@@ -173,8 +173,8 @@ def shared_keys(segments: Segments, keys: Callable[[str], tuple[np.ndarray, np.n
             lo, hi = np.searchsorted(owner, [seg, seg + 1])
             yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int64()), pa.array([pack_keys(key[lo:hi]) + total[lo:hi].tobytes()], pa.binary())], names=["seg", "block"])
 
-    sent = segments.rows().mapInArrow(send, "bucket int, seg long, block binary")
-    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(answer, "seg long, block binary")
+    sent = segments.rows().mapInArrow(frugal(send), "bucket int, seg long, block binary")
+    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(frugal(answer), "seg long, block binary")
 
 
 def unpack_answer(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

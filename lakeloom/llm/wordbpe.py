@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, flat_gather, only
+from .common import chunks, flat_gather, frugal, only
 
 #: Pieces a worker remembers between chunks before it starts anew.
 MAX_KNOWN = 400_000
@@ -343,7 +343,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 names=["doc_id", "n_tokens", "ids", "decoded"],
             )
 
-    return only(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return only(docs, id_col, text_col).mapInArrow(frugal(run), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def count_ids(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,4 +354,4 @@ def count_ids(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
         for batch in chunks(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(enc.count(batch.column(1).to_pylist()))], names=["doc_id", "n_tokens"])
 
-    return only(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")
+    return only(docs, id_col, text_col).mapInArrow(frugal(run), "doc_id long, n_tokens long")
