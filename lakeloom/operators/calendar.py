@@ -94,10 +94,14 @@ def shifted_sessions(table: DataFrame, lag: int) -> DataFrame:
 
 
 def publication_dates(table: DataFrame, settlements: DataFrame, date: str = "settlement_date", days: int = 7) -> DataFrame:
-    """Settlement dates with ``published_date``, the n-th session after them."""
+    """Settlement dates with ``published_date``, the n-th session after the last one up to them.
+
+    The calendar is spread to one row a day, bounded by its years and joined on the day itself; repeated rows stay. Days before the
+    table, and those whose session lies beyond it, have no date.
+    """
     from pyspark.sql import Window as W
 
-    numbered = table.select(F.col("date").alias("_d"), F.row_number().over(W.orderBy("date")).alias("_n"))
-    at = settlements.join(F.broadcast(numbered), F.col("_d") <= F.col(date), "left").groupBy(*settlements.columns).agg(F.max("_n").alias("_at"))
-    later = numbered.select(F.col("_d").alias("published_date"), (F.col("_n") - days).alias("_at"))
-    return at.join(F.broadcast(later), "_at", "left").select(*settlements.columns, "published_date")
+    w = W.orderBy("date")
+    sessions_ = table.select("date").distinct().select(F.col("date").alias("_d"), F.lead("date").over(w).alias("_next"), F.lead("date", days).over(w).alias("published_date"))
+    each = sessions_.select(F.explode(F.sequence("_d", F.date_sub(F.coalesce("_next", F.date_add("_d", 1)), 1))).alias("_day"), "published_date")
+    return settlements.join(F.broadcast(each), F.col("_day") == F.col(date), "left").select(*settlements.columns, "published_date")

@@ -320,4 +320,4 @@ def suspect_splits(bars: DataFrame, counts: DataFrame, tolerance: int = 200) ->
 
 def per_share_units(values: DataFrame, events: DataFrame, filed: str = "filed") -> DataFrame:
     """Per-share values in today's units: divided by the splits after their filing."""
-    return factor_after(values, events, filed, "_f").withColumn("value_now", F.col("value") / F.col("_f")).drop("_f")
+    return factor_after(values, events, filed, "_units").withColumn("value_now", F.col("value") / F.col("_units")).drop("_units")

@@ -68,12 +68,12 @@ def trailing_twelve_months(spark, sf_dir):
     return fu.add_ttm(fu.periodize(_ytd(spark, sf_dir))).where("ttm is not null").select("cik", "end", r("ttm", 2).alias("ttm"), "ttm_filed")
 
 
-@register("fundamentals_panel", f"""WITH {views.BARS}, {views.FACTS}, m AS (SELECT max(date) AS date FROM (SELECT DISTINCT date FROM bars) GROUP BY date_trunc('month', date)), s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cik, tag, unit, "end" ORDER BY filed, accn, val) AS n FROM facts) WHERE n = 1 AND CAST(cik AS INTEGER) % 10 = 0),
+@register("fundamentals_panel", f"""WITH {views.BARS}, {views.FACTS}, m AS (SELECT max(date) AS date FROM (SELECT DISTINCT date FROM bars) GROUP BY date_trunc('month', date)), s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cik, tag, unit, "end" ORDER BY filed, accn, val) AS n FROM facts) WHERE n = 1),
 p AS (SELECT DISTINCT m.date, s.cik FROM m, (SELECT DISTINCT cik FROM s) s),
 k AS (SELECT p.date, p.cik, s.tag, s."end", s.val, row_number() OVER (PARTITION BY p.date, p.cik, s.tag ORDER BY s."end" DESC, s.val DESC) AS n FROM p JOIN s ON s.cik = p.cik AND s.filed + 1 <= p.date)
 SELECT p.date, p.cik, round(max(CASE WHEN tag = '1-URGENT' AND "end" >= p.date - 400 THEN val END), 2) AS urgent, round(max(CASE WHEN tag = '5-LOW' AND "end" >= p.date - 400 THEN val END), 2) AS low FROM p LEFT JOIN k ON k.date = p.date AND k.cik = p.cik AND k.n = 1 GROUP BY 1, 2""")
 def fundamentals_panel(spark, sf_dir):
-    s = fu.choose(views.facts(spark, sf_dir).where("cast(cik as int) % 10 = 0")).select("cik", F.col("tag").alias("item"), "end", F.col("val").alias("value"), F.date_add("filed", 1).alias("available_from"))
+    s = fu.choose(views.facts(spark, sf_dir)).select("cik", F.col("tag").alias("item"), "end", F.col("val").alias("value"), F.date_add("filed", 1).alias("available_from"))
     points = views.month_ends(views.calendar(views.bars(spark, sf_dir))).crossJoin(s.select("cik").distinct())
     p = fu.panel(points, s, ["1-URGENT", "5-LOW"])
     return p.select("date", "cik", r(F.col("`1-URGENT`"), 2).alias("urgent"), r(F.col("`5-LOW`"), 2).alias("low"))
@@ -147,21 +147,24 @@ def trading_episodes(spark, sf_dir):
     return identity.episodes(days)
 
 
-@register("ticker_to_security", f"""WITH w AS (SELECT CAST(p_partkey % 100 AS VARCHAR) AS ticker, 'S' || p_partkey AS security_id, DATE '1995-01-01' + CAST((p_partkey // 100) * 200 AS INTEGER) AS valid_from, CASE WHEN p_size > 5 THEN DATE '1995-01-01' + CAST((p_partkey // 100) * 200 + 100 + p_size AS INTEGER) END AS valid_to FROM part WHERE p_partkey < 1000),
+@register("ticker_to_security", f"""WITH {views.ISSUES}, w AS (SELECT CAST(security_id AS VARCHAR) AS ticker, 'S' || p_partkey AS security_id, DATE '1995-01-01' + CAST(n * 100 AS INTEGER) AS valid_from, CASE WHEN p_size > 5 THEN DATE '1995-01-01' + CAST(n * 100 + 40 + p_size AS INTEGER) END AS valid_to FROM issues),
 d AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS ticker, CAST(l_shipdate AS DATE) AS date FROM lineitem)
 SELECT d.ticker AS ticker, d.date AS date, CASE WHEN w.valid_to IS NULL OR d.date <= w.valid_to THEN w.security_id END AS security_id FROM d ASOF LEFT JOIN w ON d.ticker = w.ticker AND d.date >= w.valid_from""")
 def ticker_to_security(spark, sf_dir):
-    at = "cast((p_partkey div 100) * 200 as int)"
-    w = views.table(spark, sf_dir, "part").where("p_partkey < 1000").select((F.col("p_partkey") % 100).cast("string").alias("ticker"), F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("security_id"), F.expr(f"date_add(date'1995-01-01', {at})").alias("valid_from"), F.expr(f"if(p_size > 5, date_add(date'1995-01-01', {at} + 100 + p_size), null)").alias("valid_to"))
+    at = lambda extra: F.expr(f"date_add(date'1995-01-01', cast(n * 100 + {extra} as int))")
+    w = views.issues(spark, sf_dir).select(F.col("security_id").cast("string").alias("ticker"), F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("security_id"), at("0").alias("valid_from"), F.when(F.col("p_size") > 5, at("40 + p_size")).alias("valid_to"))
     days = views.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("ticker"), F.to_date("l_shipdate").alias("date")).distinct()
     return identity.map_to_security(days, w).select("ticker", "date", "security_id")
 
 
-@register("linked_segments", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 900 AS a, (o_orderkey * 7 + 13) % 900 AS b FROM orders WHERE o_orderkey % 23 = 0), b AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
-r AS (SELECT a AS node, a AS hop FROM b UNION SELECT r.node, b.b FROM r JOIN b ON b.a = r.hop) SELECT node, min(hop) AS component FROM r GROUP BY node""")
+@register("linked_segments", """WITH e AS (SELECT *, lag(o_orderkey) OVER w AS before, CAST(o_orderdate AS DATE) - lag(CAST(o_orderdate AS DATE)) OVER w AS gap FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+i AS (SELECT *, sum(CASE WHEN gap <= 150 THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS island FROM e),
+c AS (SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey, island) AS component, count(*) OVER (PARTITION BY o_custkey, island) AS size FROM i) SELECT node, component FROM c WHERE size > 1""")
 def linked_segments(spark, sf_dir):
-    e = views.table(spark, sf_dir, "orders").where("o_orderkey % 23 = 0").select((F.col("o_custkey") % 900).alias("src"), ((F.col("o_orderkey") * 7 + 13) % 900).alias("dst"))
-    return connected_components(e)
+    """Orders of a customer that follow each other within 150 days."""
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.lag("o_orderkey").over(w).alias("dst"), F.date_diff(F.to_date("o_orderdate"), F.lag(F.to_date("o_orderdate")).over(w)).alias("gap"))
+    return connected_components(o.where("gap <= 150").select("src", "dst"))
 
 
 _WORDS = "list_transform(regexp_extract_all(upper(c_name || ' ' || c_mktsegment || ' Hldgs. Inc. /DE/'), '[A-Z0-9]+'), lambda w: CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.EXPAND.items()) + " ELSE w END)"

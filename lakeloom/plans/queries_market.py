@@ -65,13 +65,13 @@ def asof_nearest(spark, sf_dir):
     return asof_join(left, right.drop("ok"), "d", "rd", ["k"], strategy="nearest").groupBy("k").agg(F.count("*").alias("n"), r(F.sum("v"), 2).alias("total"))
 
 
-@register("validity_window_join", """WITH l AS (SELECT l_suppkey % 50 AS k, CAST(l_shipdate AS DATE) AS d FROM lineitem),
-w AS (SELECT p_partkey % 50 AS k, DATE '1994-01-01' + CAST((p_partkey // 50) * 120 AS INTEGER) AS valid_from, DATE '1994-01-01' + CAST((p_partkey // 50) * 120 + 60 + p_size AS INTEGER) AS valid_to, p_brand FROM part WHERE p_partkey < 1000)
+@register("validity_window_join", f"""WITH {views.ISSUES}, l AS (SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS d FROM lineitem),
+w AS (SELECT security_id AS k, DATE '1995-01-01' + CAST(n * 120 AS INTEGER) AS valid_from, DATE '1995-01-01' + CAST(n * 120 + 60 + p_size AS INTEGER) AS valid_to, p_brand FROM issues)
 SELECT l.k AS k, w.p_brand AS p_brand, count(*) AS n FROM l LEFT JOIN w ON l.k = w.k AND l.d BETWEEN w.valid_from AND w.valid_to + 7 GROUP BY 1, 2""")
 def validity_window_join(spark, sf_dir):
-    left = views.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("k"), F.to_date("l_shipdate").alias("d"))
-    at = "cast((p_partkey div 50) * 120 as int)"
-    w = views.table(spark, sf_dir, "part").where("p_partkey < 1000").select((F.col("p_partkey") % 50).alias("k"), F.expr(f"date_add(date'1994-01-01', {at})").alias("valid_from"), F.expr(f"date_add(date'1994-01-01', {at} + 60 + p_size)").alias("valid_to"), "p_brand")
+    left = views.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.to_date("l_shipdate").alias("d"))
+    at = lambda extra: F.expr(f"date_add(date'1995-01-01', cast(n * 120 + {extra} as int))")
+    w = views.issues(spark, sf_dir).select(F.col("security_id").alias("k"), at("0").alias("valid_from"), at("60 + p_size").alias("valid_to"), "p_brand")
     return validity_join(left, w, "d", ["k"], grace=7).groupBy("k", "p_brand").agg(F.count("*").alias("n"))
 
 

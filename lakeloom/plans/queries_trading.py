@@ -12,7 +12,7 @@ from ..operators import microstructure as ms
 from ..sources import readers, store
 from ..streaming import capture
 from . import views
-from .queries_market import _adjusted, _returns, r
+from .queries_market import _returns, r
 from .registry import register
 
 
@@ -95,16 +95,19 @@ def clipped_returns(spark, sf_dir):
     return risk.robust_clip(x).select("security_id", "date", (r("ret") + 0.0).alias("ret"))
 
 
-@register("decayed_means")
+@register("decayed_means", f"""WITH {views.BARS}, n AS (SELECT security_id, date, close, row_number() OVER (PARTITION BY security_id ORDER BY date) AS n FROM bars)
+SELECT a.security_id, a.date, round(CASE WHEN a.n >= 5 THEN sum(b.close * pow(0.5, (a.n - b.n) / 21.0)) / sum(pow(0.5, (a.n - b.n) / 21.0)) END, 3) AS mean FROM n a JOIN n b ON a.security_id = b.security_id AND b.n <= a.n GROUP BY a.security_id, a.date, a.n""")
 def decayed_means(spark, sf_dir):
     from ..functions.windows import decayed_mean
 
     return decayed_mean(views.bars(spark, sf_dir).select("security_id", "date", "close"), "close", ["security_id"], "date", 21.0, "mean", 5).select("security_id", "date", r("mean", 3).alias("mean"))
 
 
-@register("date_clusters", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_custkey % 97 = 0), g AS (SELECT date, CASE WHEN date - lag(date) OVER (ORDER BY date) > 10 THEN 1 ELSE 0 END AS nw FROM d), c AS (SELECT date, sum(nw) OVER (ORDER BY date) AS cluster FROM g) SELECT CAST(cluster AS BIGINT) AS cluster, min(date) AS first, max(date) AS last, count(*) AS days FROM c GROUP BY cluster")
+@register("date_clusters", "WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) + CAST(20 * (12 * year(o_orderdate) + month(o_orderdate) - 23900) AS INTEGER) AS date FROM orders), g AS (SELECT date, CASE WHEN date - lag(date) OVER (ORDER BY date) > 10 THEN 1 ELSE 0 END AS nw FROM d), c AS (SELECT date, sum(nw) OVER (ORDER BY date) AS cluster FROM g) SELECT CAST(cluster AS BIGINT) AS cluster, min(date) AS first, max(date) AS last, count(*) AS days FROM c GROUP BY cluster")
 def date_clusters(spark, sf_dir):
-    return calibrate.clusters(views.table(spark, sf_dir, "orders").where("o_custkey % 97 = 0").select(F.to_date("o_orderdate").alias("date")))
+    """Order dates with months moved twenty days apart."""
+    moved = F.expr("date_add(to_date(o_orderdate), 20 * (12 * year(o_orderdate) + month(o_orderdate) - 23900))")
+    return calibrate.clusters(views.table(spark, sf_dir, "orders").select(moved.alias("date")))
 
 
 @register("impact_coefficients", f"""WITH {views.BARS}, t AS (SELECT security_id, date, close / lag(close) OVER (PARTITION BY security_id ORDER BY date) - 1 AS ret, close * volume AS dv, (open - close) * volume AS net FROM bars), x AS (SELECT *, median(ret) OVER (PARTITION BY date) AS md FROM t),
@@ -130,8 +133,8 @@ def spread_fit(spark, sf_dir):
 def order_sheet(spark, sf_dir):
     b = views.bars(spark, sf_dir)
     last = views.latest(b, ["security_id"], [F.desc("date")])
-    w = last.select("security_id", (F.when(F.col("security_id") % 2 == 0, 0.01).otherwise(-0.01)).alias("weight")).where("security_id % 5 <> 0")
-    held = last.where("security_id % 3 = 0").select("security_id", F.col("security_id").cast("int").alias("con_id"), (F.col("volume") * 10).cast("long").alias("shares"))
+    w = last.where("volume < 45").select("security_id", (F.when(F.col("security_id") % 2 == 0, 0.01).otherwise(-0.01)).alias("weight"))
+    held = last.where("close < 1500").select("security_id", F.col("security_id").cast("int").alias("con_id"), (F.col("volume") * 10).cast("long").alias("shares"))
     book = last.select("security_id", F.col("security_id").cast("string").alias("ticker"), F.col("security_id").cast("int").alias("con_id"), F.when(F.col("security_id") % 7 == 0, "missing").otherwise("ok").alias("status"))
     market = last.select("security_id", F.col("close").alias("price"), (F.col("close") * F.col("volume") * 100).alias("adv"))
     s = orders.make_orders(w, held, book, market, 1e7, participation=0.1)
@@ -147,11 +150,11 @@ def live_trades_normalized(spark, sf_dir):
     return out.select("ticker", r("price", 2).alias("price"), "sequence_number", F.unix_millis("timestamp").alias("ms"))
 
 
-@register("keyed_upsert", """WITH a AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) SELECT k, v FROM b UNION ALL SELECT k, v FROM a WHERE k NOT IN (SELECT k FROM b)""")
+@register("keyed_upsert", """WITH a AS (SELECT l_partkey AS k, max(l_orderkey) AS v FROM lineitem GROUP BY 1), b AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders GROUP BY 1) SELECT k, v FROM b UNION ALL SELECT k, v FROM a WHERE k NOT IN (SELECT k FROM b)""")
 def keyed_upsert(spark, sf_dir):
-    o = views.table(spark, sf_dir, "orders")
-    part = lambda m: o.where(F.col("o_orderkey") % m == 0).groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("v"))
-    return store.upsert(part(2), part(3), ["k"])
+    old = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.max("l_orderkey").alias("v"))
+    new = views.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("v"))
+    return store.upsert(old, new, ["k"])
 
 
 @register("short_volume_files", """SELECT CAST(o_orderdate AS DATE) AS date, 'S' || (o_custkey % 40) AS symbol, CAST(sum(o_custkey) AS DOUBLE) AS short_volume, CAST(sum(o_custkey + o_orderkey) AS DOUBLE) AS total_volume FROM orders GROUP BY 1, 2""")
@@ -210,10 +213,3 @@ def simulated_day_fills(spark, sf_dir):
     aux = bars.groupBy("date", "security_id").agg(F.min_by("open", "bar_end").alias("open"), F.max_by("close", "bar_end").alias("close"))
     fills, _ = simulate.simulate(bars, tg, aux)
     return fills.select("date", "security_id", "kind", r("trade", 6).alias("trade"), r("price").alias("price"), "wait")
-
-
-@register("adjusted_returns_by_sector", None)
-def adjusted_returns_by_sector(spark, sf_dir):
-    b = _adjusted(spark, sf_dir)
-    w = W.partitionBy("security_id").orderBy("date")
-    return b.select((F.col("security_id") % 5).alias("sector"), F.year("date").alias("year"), F.ln(F.col("close") / F.lag("close").over(w)).alias("x")).groupBy("sector", "year").agg(r(F.avg("x"), 5).alias("mean"), F.count("x").alias("n"))

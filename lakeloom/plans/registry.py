@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-MODULES = ["queries_market", "queries_intraday", "queries_company", "queries_trading"]
+MODULES = ["queries_market", "queries_intraday", "queries_company", "queries_trading", "queries_core"]
 
 
 def _load() -> None:

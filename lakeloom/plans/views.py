@@ -35,33 +35,48 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SPLITS = """splits AS (
-    SELECT p_partkey % 100 AS security_id, DATE '1994-01-01' + CAST((p_partkey * 37) % 2000 AS INTEGER) AS execution_date,
-           1.0 AS split_from, CAST(1 + p_size % 3 AS DOUBLE) AS split_to
-    FROM part WHERE p_partkey % 10 = 0 AND p_partkey < 2000
+#: Every part belongs to the security of its first line item, some twenty to a security at any size; ``n`` numbers them.
+ISSUES = """issues AS (
+    SELECT security_id, p_partkey, p_size, p_brand, row_number() OVER (PARTITION BY security_id ORDER BY p_partkey) AS n
+    FROM part JOIN (SELECT l_partkey, first(l_suppkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS security_id FROM lineitem GROUP BY 1) ON l_partkey = p_partkey
+)"""
+
+
+def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """security_id, p_partkey, p_size, p_brand, n."""
+    first = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min_by("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_suppkey")).alias("security_id"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand").join(first, "p_partkey")
+    return p.select("security_id", "p_partkey", "p_size", "p_brand", F.row_number().over(W.partitionBy("security_id").orderBy("p_partkey")).alias("n"))
+
+
+SPLITS = ISSUES + """, splits AS (
+    SELECT security_id, DATE '1994-01-01' + CAST((p_partkey * 37) % 2000 AS INTEGER) AS execution_date,
+           CAST(1 AS DOUBLE) AS split_from, CAST(CASE p_size % 10 WHEN 0 THEN 2.0 WHEN 1 THEN 3.0 WHEN 2 THEN 0.5 WHEN 3 THEN 0.25 ELSE 1.0 END AS DOUBLE) AS split_to
+    FROM issues
 )"""
 
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """security_id, execution_date, split_from, split_to."""
-    return table(spark, sf_dir, "part").where("p_partkey % 10 = 0 and p_partkey < 2000").select(
-        (F.col("p_partkey") % 100).alias("security_id"), F.expr("date_add(date'1994-01-01', cast((p_partkey * 37) % 2000 as int))").alias("execution_date"),
-        F.lit(1.0).alias("split_from"), (1 + F.col("p_size") % 3).cast("double").alias("split_to"),
+    return issues(spark, sf_dir).select(
+        "security_id", F.expr("date_add(date'1994-01-01', cast((p_partkey * 37) % 2000 as int))").alias("execution_date"),
+        F.lit(1.0).alias("split_from"), F.expr("double(case p_size % 10 when 0 then 2.0 when 1 then 3.0 when 2 then 0.5 when 3 then 0.25 else 1.0 end)").alias("split_to"),
     )
 
 
+#: Follows SPLITS, whose issues it reads. Powers of two keep products off the ties of rounding.
 DIVIDENDS = """dividends AS (
-    SELECT p_partkey % 100 AS security_id, DATE '1994-01-15' + CAST((p_partkey * 53) % 2200 AS INTEGER) AS ex_dividend_date,
-           1 - (1 + p_size) / 1000.0 AS factor
-    FROM part WHERE p_partkey % 7 = 0 AND p_partkey < 2000
+    SELECT security_id, DATE '1994-01-15' + CAST((p_partkey * 53) % 2200 AS INTEGER) AS ex_dividend_date,
+           1 - (1 + p_size) / 1024.0 AS factor
+    FROM issues
 )"""
 
 
 def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """security_id, ex_dividend_date, factor (the step of one dividend)."""
-    return table(spark, sf_dir, "part").where("p_partkey % 7 = 0 and p_partkey < 2000").select(
-        (F.col("p_partkey") % 100).alias("security_id"), F.expr("date_add(date'1994-01-15', cast((p_partkey * 53) % 2200 as int))").alias("ex_dividend_date"),
-        (1 - (1 + F.col("p_size")) / F.lit(1000.0)).alias("factor"),
+    return issues(spark, sf_dir).select(
+        "security_id", F.expr("date_add(date'1994-01-15', cast((p_partkey * 53) % 2200 as int))").alias("ex_dividend_date"),
+        (1 - (1 + F.col("p_size")) / F.lit(1024.0)).alias("factor"),
     )
 
 
